@@ -32,7 +32,7 @@ def parse_responses(df: DataFrame, text_column: str) -> DataFrame:
     text = col(text_column)
     block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     parsed = df.withColumn("_json", block).withColumn(
-        "_readable", F.coalesce(F.try_parse_json("_json").isNotNull() & (F.col("_json") != ""), F.lit(False))
+        "_readable", F.coalesce((block != "") & F.try_parse_json(F.concat(F.lit("["), block, F.lit("]"))).isNotNull(), F.lit(False))
     ).withColumn("_r", F.from_json("_json", RESPONSE_SCHEMA))
     stated = F.col("_r.recommended_models")
     number_ok = ~F.coalesce(
