@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,32 @@ def build_session(master: str | None = None, app_name: str = "veritab", **conf:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder of its session and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and scratch tables, which every executor can reach.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master, where driver and executors share one disk, falls back to a
-    temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    master, where driver and executors share one disk, falls back to a temporary
+    folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = context.getCheckpointDir()
+    if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="veritab-checkpoint-")
         context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
