@@ -281,25 +281,29 @@ def _direct_edges(pairs: DataFrame, core_points: DataFrame, parts: _Parts, level
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, root)``: the smallest node each node is connected to.
 
-    Every round takes the smallest label among the neighbours and then follows
-    the label's own label, which halves the remaining path lengths.
+    FastSV (Zhang, Azad and Hu, 2020): in every round a node and its parent both
+    hook to the smallest grandparent among the node's neighbours, and then every
+    node moves up to its grandparent. Minima are combined before each shuffle,
+    and parents shared by very many nodes are looked up apart.
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = checkpoint(nodes.withColumn("root", F.col("node")))
+    state = checkpoint(nodes.select("node", F.col("node").alias("parent"), F.col("node").alias("grand")))
     while True:
-        offered = both.join(state, F.col("a") == F.col("node")).groupBy("b").agg(F.min("root").alias("offer"))
-        lowered = state.join(offered, F.col("node") == F.col("b"), "left").select(
-            "node", F.least("root", F.coalesce("offer", "root")).alias("root"), F.col("root").alias("before"))
-        lowered = checkpoint(lowered)
-        weights = lowered.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"))
-        next_root = lowered.select(F.col("node").alias("_root"), F.col("root").alias("next"))
-        jumps = weights.join(next_root, "_root")
-        jumped = checkpoint(lookup(lowered, "root", jumps, "_root", "n").select(
-            "node", F.coalesce("next", "root").alias("root"), "before"))
-        changed = jumped.filter(F.col("root") != F.col("before")).isEmpty()
-        state = jumped.select("node", "root")
-        if changed:
-            return state
+        offers = both.join(state.select("node", "grand"), F.col("a") == F.col("node")).groupBy("b").agg(
+            F.min("grand").alias("offer"))
+        offered = checkpoint(state.join(offers, F.col("node") == F.col("b"), "left").select(
+            "node", "parent", "grand", F.coalesce("offer", "grand").alias("offer")))
+        hooked = offered.groupBy(F.col("parent").alias("hook")).agg(F.min("offer").alias("hook_offer"))
+        moved = checkpoint(offered.join(hooked, F.col("node") == F.col("hook"), "left").select(
+            "node", F.least("parent", "grand", "offer", F.coalesce("hook_offer", "grand")).alias("parent"),
+            F.col("grand").alias("before")))
+        shared = moved.groupBy(F.col("parent").alias("_parent")).agg(F.count(F.lit(1)).alias("n"))
+        ancestors = shared.join(
+            moved.select(F.col("node").alias("_parent"), F.col("parent").alias("grand")), "_parent")
+        jumped = checkpoint(lookup(moved, "parent", ancestors, "_parent", "n"))
+        state = jumped.select("node", "parent", "grand")
+        if jumped.filter(F.col("grand") != F.col("before")).isEmpty():
+            return state.select("node", F.col("grand").alias("root"))
 
 
 def _border_labels(rest: DataFrame, near: DataFrame, cell_labels: DataFrame, core_points: DataFrame, parts: _Parts,

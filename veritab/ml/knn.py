@@ -103,6 +103,8 @@ def nearest_neighbors(
 
     left = deal(visits, "key", "test_block", test_blocks, "train_block", train_blocks)
     right = deal(placed, "neighbor", "train_block", train_blocks, "test_block", test_blocks)
+    # Both sides may come from one table; new column identities keep the cogroup unambiguous.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def compare(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
         columns = ["key", "neighbor", "label", "distance"]

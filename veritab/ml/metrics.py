@@ -71,7 +71,6 @@ def silhouette_exact(
     """
     rows = df.filter(col(label) != -1).select(
         col(key).alias("id"), col(label).alias("cluster"), feature_array(df, features).alias("x"))
-    # Equal keys may not share a hash bucket with too many others: the block count follows the row count.
     clusters = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     size, groups = clusters.agg(F.sum("members"), F.count(F.lit(1))).first()
     size = size or 0
@@ -83,6 +82,8 @@ def silhouette_exact(
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.withColumn("left", F.col("block")).withColumn("right", every)
     right = dealt.withColumn("right", F.col("block")).withColumn("left", every)
+    # Both sides come from one table; new column identities keep the cogroup unambiguous.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "own", "cluster", "total"]

@@ -25,6 +25,7 @@ from veritab.ml.metrics import classification_metrics, clustering_metrics
 from veritab.ml.split import stratified_split
 from veritab.ml.vectors import feature_array, feature_vector, matrix
 from veritab.schema import col, numeric_only, require_columns
+from veritab.session import checkpoint
 
 MAX_CLASSES = 1000
 MAX_DEPTH = 30
@@ -88,8 +89,9 @@ def train_supervised(
     codes = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target)) - 1
     seed = int(parameters.get("random_state", 42))
     known = df.filter(col(target).isNotNull())
-    coded = stratified_split(known, target, key, float(parameters.get("test_size", 0.2)), seed).select(
-        col(key).alias("key"), codes.cast("double").alias("label"), feature_array(df, features).alias("x"), "is_test")
+    # Every trainer passes over the rows many times, so the split is made once.
+    coded = checkpoint(stratified_split(known, target, key, float(parameters.get("test_size", 0.2)), seed).select(
+        col(key).alias("key"), codes.cast("double").alias("label"), feature_array(df, features).alias("x"), "is_test"))
     train, test = coded.filter(~F.col("is_test")), coded.filter(F.col("is_test"))
 
     model, importances = None, None
@@ -250,7 +252,7 @@ def train_unsupervised(
         raise ValueError(f"Unsupported unsupervised algorithm: {algorithm}")
     require_columns(df, [key])
     features = list(features or default_features(df, None, key))
-    rows = df.select(col(key).alias("key"), feature_array(df, features).alias("x"))
+    rows = checkpoint(df.select(col(key).alias("key"), feature_array(df, features).alias("x")))
     centers, model = None, None
     if algorithm == "dbscan":
         labelled = dbscan(rows, ["x"], "key", float(parameters.get("eps", 0.5)), int(parameters.get("min_samples", 5)))
@@ -292,7 +294,7 @@ def auto_cluster(
         [(c, *fitted[c]) for c in numeric], scaling.schema))
     if complete.limit(clusters).count() < clusters:
         raise ValueError("fewer rows than clusters")
-    vectors = scaled.select(col(key).alias("key"), feature_vector(scaled, numeric).alias("features"))
+    vectors = checkpoint(scaled.select(col(key).alias("key"), feature_vector(scaled, numeric).alias("features")))
     model = fit_kmeans(vectors, clusters, seed, restarts)
 
     def unscaled(name: str) -> Column:
