@@ -1,51 +1,59 @@
 """Exact linear-interpolated quantiles that never hold a column in one buffer.
 
 Small columns use the built-in ``percentile``. Above ``buffer_rows`` non-null
-values every wanted order statistic is bracketed by two ``percentile_approx``
-values, the rows below, on and between the bracket ends are counted, and the
-open interval that holds the rank is searched again until it fits the buffer.
-Each round shrinks the interval by about the sketch accuracy, whatever the
-value distribution: values that hold many rows become bracket ends and are
-settled by their count.
+values the wanted order statistics are searched: one ``percentile_approx`` per
+column brackets all of them, the rows below and up to every bracket end are
+counted, and each open interval that still holds a rank is searched again until
+it fits the buffer. A round shrinks an interval by about the sketch accuracy,
+whatever the value distribution: values that hold many rows become bracket ends
+and are settled by their count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.schema import as_double
 
-BUFFER_ROWS = 1_000_000
+BUFFER_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
 @dataclass
-class _Search:
-    """The open interval (low, high) that holds the value of one rank."""
+class _Interval:
+    """The values strictly between ``low`` and ``high``, and the ranks wanted among them.
+
+    ``ranks`` maps a rank inside the interval to the rank in the whole column.
+    """
 
     column: str
-    rank: int
     size: int
     low: float | None = None
     high: float | None = None
-    value: float | None = None
+    ranks: dict[int, int] = field(default_factory=dict)
 
-    def inside(self) -> Column:
+    def values(self) -> Column:
         x = as_double(self.column)
-        keep = x.isNotNull()
+        if self.low is None and self.high is None:
+            return x
+        keep = F.lit(True)
         if self.low is not None:
             keep = keep & (x > F.lit(self.low))
         if self.high is not None:
             keep = keep & (x < F.lit(self.high))
-        return keep
+        return F.when(keep, x)
 
-    def fraction(self) -> float:
-        return self.rank / (self.size - 1) if self.size > 1 else 0.0
+    def fractions(self, margin: float = 0.0) -> list[float]:
+        """Ranks as shares of the interval, or the ends of a margin around each."""
+        shares = [r / (self.size - 1) if self.size > 1 else 0.0 for r in self.ranks]
+        if not margin:
+            return shares
+        return sorted({min(1.0, max(0.0, s + m)) for s in shares for m in (-margin, margin)})
 
 
 def count_values(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
@@ -54,6 +62,11 @@ def count_values(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
 
+def quantile_array(column: str, probabilities: Sequence[float]) -> Column:
+    """All quantiles of a small column from one buffer."""
+    return F.percentile(as_double(column), F.array(*[F.lit(float(p)) for p in probabilities]))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -66,81 +79,74 @@ def exact_quantiles(
     if not columns:
         return {}
     counts = counts or count_values(df, columns)
-    small = [c for c in columns if counts[c] <= buffer_rows]
-    result: dict[str, list[float | None]] = {}
+    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    small = [c for c in columns if 0 < counts[c] <= buffer_rows]
     if small:
-        row = df.agg(*[
-            F.percentile(as_double(c), F.array(*[F.lit(float(p)) for p in probabilities])).alias(f"q{i}")
-            for i, c in enumerate(small)
-        ]).first()
-        for i, c in enumerate(small):
-            result[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probabilities)
-
-    large = [c for c in columns if counts[c] > buffer_rows]
-    searches: dict[tuple[str, int], _Search] = {}
-    for c in large:
-        for p in probabilities:
-            position = p * (counts[c] - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                searches[c, rank] = _Search(c, rank, counts[c])
-    _settle(df, list(searches.values()), buffer_rows)
-    for c in large:
+        row = df.agg(*[quantile_array(c, probabilities).alias(f"q{i}") for i, c in enumerate(small)]).first()
+        result.update({c: list(row[f"q{i}"]) for i, c in enumerate(small)})
+
+    positions = {c: [p * (counts[c] - 1) for p in probabilities] for c in columns if counts[c] > buffer_rows}
+    found = _order_statistics(df, [
+        _Interval(c, counts[c], ranks={r: r for p in wanted for r in (math.floor(p), math.ceil(p))})
+        for c, wanted in positions.items()
+    ], buffer_rows)
+    for c, wanted in positions.items():
         result[c] = []
-        for p in probabilities:
-            position = p * (counts[c] - 1)
-            below = searches[c, math.floor(position)].value
-            above = searches[c, math.ceil(position)].value
-            result[c].append(below + (above - below) * (position - math.floor(position)))
+        for p in wanted:
+            below, above = found[c, math.floor(p)], found[c, math.ceil(p)]
+            result[c].append(below + (above - below) * (p - math.floor(p)))
     return result
 
 
-def _settle(df: DataFrame, searches: list[_Search], buffer_rows: int) -> None:
-    margin = 2.0 / SKETCH_ACCURACY
-    while True:
-        wide = [s for s in searches if s.value is None and s.size > buffer_rows]
+def _order_statistics(
+    df: DataFrame, intervals: list[_Interval], buffer_rows: int,
+) -> dict[tuple[str, int], float]:
+    """The values at the wanted ranks, by column and rank."""
+    found: dict[tuple[str, int], float] = {}
+    narrow: list[_Interval] = []
+    while intervals:
+        wide = [v for v in intervals if v.size > buffer_rows]
+        narrow += [v for v in intervals if v.size <= buffer_rows]
+        intervals = []
         if not wide:
             break
         row = df.agg(*[
-            F.percentile_approx(
-                F.when(s.inside(), as_double(s.column)),
-                [max(0.0, s.fraction() - margin), min(1.0, s.fraction() + margin)],
-                SKETCH_ACCURACY,
-            ).alias(f"b{i}")
-            for i, s in enumerate(wide)
+            F.percentile_approx(v.values(), v.fractions(2.0 / SKETCH_ACCURACY), SKETCH_ACCURACY).alias(f"e{i}")
+            for i, v in enumerate(wide)
+        ]).first()
+        ends = [sorted(set(row[f"e{i}"])) for i in range(len(wide))]
+        row = df.agg(*[
+            count for i, v in enumerate(wide) for j, e in enumerate(ends[i]) for count in (
+                F.count_if(v.values() < F.lit(e)).alias(f"below_{i}_{j}"),
+                F.count_if(v.values() <= F.lit(e)).alias(f"upto_{i}_{j}"))
         ]).first()
-        ends = [tuple(row[f"b{i}"]) for i in range(len(wide))]
-        counted = []
-        for i, (s, (low, high)) in enumerate(zip(wide, ends)):
-            x = as_double(s.column)
-            counted += [
-                F.count_if(s.inside() & (x < F.lit(low))).alias(f"below{i}"),
-                F.count_if(x == F.lit(low)).alias(f"low{i}"),
-                F.count_if((x > F.lit(low)) & (x < F.lit(high))).alias(f"mid{i}"),
-                F.count_if((x == F.lit(high)) & F.lit(high > low)).alias(f"high{i}"),
-            ]
-        row = df.agg(*counted).first()
-        for i, (s, (low, high)) in enumerate(zip(wide, ends)):
-            parts = [
-                (row[f"below{i}"], None, (s.low, low)),
-                (row[f"low{i}"], low, None),
-                (row[f"mid{i}"], None, (low, high)),
-                (row[f"high{i}"], high, None),
-            ]
-            rest = s.size - sum(n for n, _, _ in parts)
-            for n, value, interval in [*parts, (rest, None, (high, s.high))]:
-                if s.rank < n:
-                    if interval is None:
-                        s.value = value
-                    else:
-                        s.low, s.high = interval
-                        s.size = n
-                    break
-                s.rank -= n
-    narrow = [s for s in searches if s.value is None]
+        for i, v in enumerate(wide):
+            edges = [(e, row[f"below_{i}_{j}"], row[f"upto_{i}_{j}"]) for j, e in enumerate(ends[i])]
+            intervals += _split(v, edges, found)
     if narrow:
         row = df.agg(*[
-            F.percentile(F.when(s.inside(), as_double(s.column)), F.lit(s.fraction())).alias(f"v{i}")
-            for i, s in enumerate(narrow)
+            F.percentile(v.values(), F.array(*[F.lit(f) for f in v.fractions()])).alias(f"v{i}")
+            for i, v in enumerate(narrow)
         ]).first()
-        for i, s in enumerate(narrow):
-            s.value = row[f"v{i}"]
+        for i, v in enumerate(narrow):
+            found.update({(v.column, rank): value for rank, value in zip(v.ranks.values(), row[f"v{i}"])})
+    return found
+
+
+def _split(
+    interval: _Interval, edges: list[tuple[float, int, int]], found: dict[tuple[str, int], float],
+) -> list[_Interval]:
+    """Settle the ranks that fall on an edge value; return the open intervals that hold the others."""
+    parts: list[_Interval] = []
+    low, before = interval.low, 0
+    for edge, below, upto in [*edges, (interval.high, interval.size, interval.size)]:
+        part = _Interval(interval.column, below - before, low, edge)
+        for rank, original in interval.ranks.items():
+            if before <= rank < below:
+                part.ranks[rank - before] = original
+            elif below <= rank < upto:
+                found[interval.column, original] = edge
+        if part.ranks:
+            parts.append(part)
+        low, before = edge, upto
+    return parts

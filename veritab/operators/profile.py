@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.numeric import percent
-from veritab.functions.quantiles import BUFFER_ROWS, count_values, exact_quantiles
+from veritab.functions.quantiles import BUFFER_ROWS, count_values, exact_quantiles, quantile_array
 from veritab.operators.values import distinct_counts
 from veritab.schema import as_double, col, column_types, numeric_only, require_columns, scalar_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quartile_columns(
+def quartile_arrays(
     df: DataFrame,
     columns: Sequence[str],
     buffer_rows: int = BUFFER_ROWS,
     probabilities: Sequence[float] = QUARTILES,
-) -> dict[str, list[Column]]:
-    """Quantile expressions usable inside ``df.agg``.
+) -> dict[str, Column]:
+    """An array of quantiles per column, usable inside ``df.agg``.
 
     Columns whose values fit the buffer stay lazy aggregates; for the others the
     distributed search has already run and its results come back as literals.
@@ -30,9 +30,7 @@ def quartile_columns(
     large = exact_quantiles(
         df, [c for c in columns if counts[c] > buffer_rows], probabilities, buffer_rows, counts)
     return {
-        c: [F.lit(v).cast("double") for v in large[c]] if c in large
-        else [F.percentile(as_double(c), F.lit(float(p))) for p in probabilities]
-        for c in columns
+        c: F.array(*[F.lit(v) for v in large[c]]) if c in large else quantile_array(c, probabilities) for c in columns
     }
 
 
@@ -50,7 +48,7 @@ def column_statistics(
     columns = scalar_columns(df, columns)
     types = column_types(df)
     numeric = numeric_only(df, columns)
-    quartiles = quartile_columns(df, numeric, buffer_rows)
+    quartiles = quartile_arrays(df, numeric, buffer_rows)
     measures = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         measures.append(F.count(col(c)).alias(f"n{i}"))
@@ -59,7 +57,7 @@ def column_statistics(
             measures += [
                 F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                F.array(*quartiles[c]).alias(f"q{i}"),
+                quartiles[c].alias(f"q{i}"),
             ]
         elif types[c] == "boolean":
             measures.append(F.count_if(col(c)).alias(f"true{i}"))
