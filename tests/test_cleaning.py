@@ -167,3 +167,13 @@ def test_outlier_filter_has_no_join_or_shuffle(spark, data):
     kept, _ = cleaning.remove_outliers(spark.read.parquet(f"{data}/events.parquet"), "iqr", ["value"])
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "PushedFilters" in plan
+
+
+def test_lookup_by_array_key(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") < 100, F.array(F.lit(0), F.lit(0))).otherwise(
+        F.array(F.col("id"), F.lit(1))).cast("array<bigint>").alias("cell"))
+    table = df.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    for limit in (1000, 1):
+        got = lookup(df, "cell", table, "c", "n", limit)
+        assert got.filter(F.col("first") != F.when(F.col("id") < 100, 0).otherwise(F.col("id"))).count() == 0
+        assert got.count() == got.filter("first is not null").count() == 300

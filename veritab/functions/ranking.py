@@ -18,6 +18,7 @@ MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 16
 FANOUT = 64
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1_000
 
 
@@ -94,6 +95,12 @@ def dense_codes(values: DataFrame, key: str, name: str = "code", bucket_rows: in
     return ranked.withColumn(name, F.col(name) - 1).drop("_one")
 
 
+def _literal(value: object, data_type: T.DataType) -> Column:
+    if isinstance(data_type, T.ArrayType):
+        return F.array(*[F.lit(v) for v in value]).cast(data_type)
+    return F.lit(value).cast(data_type)
+
+
 def lookup(
     df: DataFrame,
     key: str,
@@ -104,9 +111,9 @@ def lookup(
 ) -> DataFrame:
     """Left join ``df`` to ``table`` (unique on ``table_key``, ``weight`` = rows of ``df`` per key).
 
-    A table of checked small size is broadcast. Otherwise the keys that hold
-    more than one row in ``HOT_SHARE`` (so at most ``HOT_SHARE`` keys) are
-    broadcast, and only the other rows are shuffled to the join.
+    A table of checked size in rows and key bytes is broadcast. Otherwise the
+    keys that hold more than one row in ``HOT_SHARE`` (so at most ``HOT_SHARE``
+    keys) are broadcast, and only the other rows are shuffled to the join.
     """
     payload = [c for c in table.columns if c not in (table_key, weight)]
     renamed = table.select(col(table_key).alias("_lookup_key"), *[col(c) for c in payload], col(weight).alias("_weight"))
@@ -114,12 +121,14 @@ def lookup(
     def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
         return rows.join(side.drop("_weight"), col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
 
-    size, total = table.agg(F.count(F.lit(1)), F.sum(col(weight))).first()
-    if size <= broadcast_rows:
+    key_bytes = F.sum(F.octet_length(F.to_json(F.struct(col(table_key)))))
+    size, total, held = table.agg(F.count(F.lit(1)), F.sum(col(weight)), key_bytes).first()
+    if size <= broadcast_rows and (held or 0) <= BROADCAST_BYTES:
         return joined(df, F.broadcast(renamed))
     limit = max(1, (total or 0) // HOT_SHARE)
     hot = renamed.filter(F.col("_weight") > limit)
-    hot_keys = [row[0] for row in hot.select("_lookup_key").collect()]
+    key_type = renamed.schema["_lookup_key"].dataType
+    hot_keys = [_literal(row[0], key_type) for row in hot.select("_lookup_key").collect()]
     if not hot_keys:
         return joined(df, renamed)
     is_hot = F.coalesce(col(key).isin(hot_keys), F.lit(False))

@@ -69,11 +69,15 @@ def _grid(side: float) -> Column:
 
 
 class _Parts:
-    """Deals the points of the few crowded cells into parts for joins on the cell."""
+    """Deals the points of the few hot cells into parts for joins on the cell.
 
-    def __init__(self, cells: DataFrame, hot_rows: int):
+    Hot cells hold more than one point in a thousand, so there are fewer than a
+    thousand of them, and all their points are core.
+    """
+
+    def __init__(self, cells: DataFrame, hot_rows: int, min_samples: int):
         total = cells.agg(F.sum("n")).first()[0] or 0
-        limit = max(hot_rows, total // 1000)
+        limit = max(hot_rows, total // 1000, min_samples)
         hot = cells.filter(F.col("n") > limit).select("cell", "n").collect()
         self.parts = {tuple(r["cell"]): math.ceil(r["n"] / limit) for r in hot}
 
@@ -83,6 +87,9 @@ class _Parts:
         ])
         return F.coalesce(F.try_element_at(found, cell), F.lit(1))
 
+    def is_hot(self) -> Column:
+        return self._count(F.col("cell")) > 1 if self.parts else F.lit(False)
+
     def points(self, df: DataFrame) -> DataFrame:
         if not self.parts:
             return df.withColumn("part", F.lit(0))
@@ -118,12 +125,13 @@ def dbscan(
     side = eps / math.sqrt(width) * (1 - 1e-9)
     points = rows.withColumn("cell", _grid(side))
     cells = checkpoint(points.groupBy("cell").agg(*_box(width)))
-    parts = _Parts(cells, hot_rows)
+    parts = _Parts(cells, hot_rows, min_samples)
     near = checkpoint(_near_cells(cells, width, side, eps))
 
     # Core points.
     thin_cells = cells.filter(F.col("n") < min_samples)
-    thin = checkpoint(points.join(thin_cells.select("cell", F.col("n").alias("own")), "cell"))
+    cool = points.filter(~parts.is_hot())
+    thin = checkpoint(cool.join(thin_cells.select("cell", F.col("n").alias("own")), "cell"))
     open_cells = _point_to_cells(thin, near, cells, eps)
     known = open_cells.groupBy("key").agg(F.sum("whole").alias("whole"))
     counted = thin.join(known, "key", "left").withColumn("known", F.col("own") + F.coalesce("whole", F.lit(0)))
@@ -147,7 +155,7 @@ def dbscan(
         .unionByName(judged.filter("core").groupBy("cell").agg(*_box(width)))
         .withColumn("crowded", F.col("n") >= min_samples))
     thin_core = judged.filter("core").select("key", "x", "cell")
-    core_points = _core_points(points, thin_core, thin_cells)
+    core_points = _core_points(points.filter(parts.is_hot()), cool, thin_core, thin_cells)
     edges = _core_edges(core_cells, near, core_points, parts, width, side, eps, direct_pairs)
     components = _components(core_cells.select(F.col("first_key").alias("node")), edges)
 
@@ -207,14 +215,13 @@ def _point_to_cells(points: DataFrame, near: DataFrame, cells: DataFrame, eps: f
         "key", "x", "other", F.when(inside, F.col("n")).otherwise(0).alias("whole"), (~inside).alias("partly"))
 
 
-def _core_points(points: DataFrame, thin_core: DataFrame, thin_cells: DataFrame) -> DataFrame:
+def _core_points(hot: DataFrame, cool: DataFrame, thin_core: DataFrame, thin_cells: DataFrame) -> DataFrame:
     """All core points: those of crowded cells and the core ones of thin cells.
 
-    The anti join keeps the rows of crowded cells, which have no partner; thin
-    cells hold fewer than ``min_samples`` rows each.
+    The points of hot cells take no part in the join that drops the thin cells.
     """
-    crowded = points.join(thin_cells.select("cell"), "cell", "left_anti").select("key", "x", "cell")
-    return crowded.unionByName(thin_core)
+    crowded = cool.join(thin_cells.select("cell"), "cell", "left_anti")
+    return hot.unionByName(crowded).select("key", "x", "cell").unionByName(thin_core)
 
 
 def _core_edges(core_cells: DataFrame, near: DataFrame, core_points: DataFrame, parts: _Parts, width: int,

@@ -15,7 +15,7 @@ from veritab.ml.vectors import distances_to, feature_array, matrix
 from veritab.schema import col
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 # Distances are compared with this relative slack, so rounding never prunes a true neighbour.
 SLACK = 1e-9
 

@@ -16,6 +16,7 @@ from veritab.operators.charts import area_under_curve, prediction_counts, roc_po
 from veritab.schema import col
 
 BLOCK_ROWS = 4096
+BROADCAST_CLUSTERS = 100_000
 
 
 def classification_metrics(df: DataFrame, label: str, prediction: str, score: str | None = None,
@@ -105,7 +106,7 @@ def silhouette_exact(
     partial = left.groupBy("left", "right").cogroup(right.groupBy("left", "right")).applyInPandas(
         sums, f"id {id_type}, own {cluster_type}, cluster {cluster_type}, total double")
     whole = partial.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"))
-    with_sizes = whole.join(clusters, "cluster")
+    with_sizes = whole.join(F.broadcast(clusters) if groups <= BROADCAST_CLUSTERS else clusters, "cluster")
     mine = F.col("own") == F.col("cluster")
     per_row = with_sizes.groupBy("id", "own").agg(
         F.max(F.when(mine, F.try_divide(F.col("total"), F.col("members") - 1))).alias("a"),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from veritab.schema import col, require_columns
 
 WINDOW_ROWS = 1_000_000
+BROADCAST_CLASSES = 10_000
 
 
 def stratified_split(
@@ -30,7 +31,8 @@ def stratified_split(
     require_columns(df, [label, key])
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string"))))
     class_sizes = df.groupBy(col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    largest = class_sizes.agg(F.max("_n")).first()[0] or 0
+    largest, classes = class_sizes.agg(F.max("_n"), F.count(F.lit(1))).first()
+    largest = largest or 0
     wanted = F.floor(F.col("_n") * F.lit(test_size) + 0.5)
     if largest <= window_rows:
         rank = F.row_number().over(Window.partitionBy(col(label)).orderBy("_hash", col(key)))
@@ -50,6 +52,8 @@ def stratified_split(
         .filter((F.col("_left") >= 0) & (F.col("_upto") > wanted))
         .groupBy("_label").agg(F.min(F.struct("_prefix", "_left")).alias("_cut"))
     )
+    if classes <= BROADCAST_CLASSES:
+        cuts = F.broadcast(cuts)
     # No row lies past the cut when the whole class is wanted; such a class has no cut row.
     marked = hashed.join(cuts, col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
     on_cut = F.coalesce(F.col("_prefix") == F.col("_cut._prefix"), F.lit(False))

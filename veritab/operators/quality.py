@@ -86,11 +86,12 @@ def imbalance_by_column(df: DataFrame, columns: Sequence[str] | None = None) ->
     types = column_types(df)
     chosen = [c for c in scalar_columns(df, columns) if types[c] in ("categorical", "datetime")]
     counts = value_counts(df, chosen)
+    # One row per column of the table, whatever its size: bounded, so it may be broadcast.
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total")
     order = F.struct((-F.col("n")).alias("n"), "value")
     per_column = (
-        counts.join(totals, "column").groupBy("column").agg(
+        counts.join(F.broadcast(totals), "column").groupBy("column").agg(
             F.count(F.lit(1)).alias("unique_values"),
             F.min("n").alias("least_frequent_count"),
             F.max("n").alias("most_frequent_count"),
@@ -117,25 +118,29 @@ def outlier_counts(
     columns: Sequence[str] | None = None,
     buffer_rows: int = BUFFER_ROWS,
 ) -> DataFrame:
-    """IQR and z-score outliers per numeric column that has values; two scans of those columns."""
+    """IQR and z-score outliers per numeric column that has values."""
     columns = numeric_only(df, columns)
-    bounds = exact_quantiles(df, columns, (0.25, 0.75), buffer_rows)
-    columns = [c for c in columns if bounds[c][0] is not None]
     schema = ("position int, column string, value_count bigint, iqr_outliers bigint, iqr_outlier_percentage double, "
               "zscore_outliers bigint, zscore_outlier_percentage double, lower_bound double, upper_bound double, "
               "mean double, std double, min double, max double")
+    moments = {}
+    if columns:
+        row = df.agg(*[
+            m for i, c in enumerate(columns) for m in (
+                F.count(as_double(c)).alias(f"n{i}"), F.avg(as_double(c)).alias(f"mean{i}"),
+                F.stddev_samp(as_double(c)).alias(f"std{i}"))
+        ]).first()
+        moments = {c: (row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"]) for i, c in enumerate(columns)}
+    columns = [c for c in columns if moments[c][0] > 0]
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    moments = df.agg(*[
-        m for i, c in enumerate(columns)
-        for m in (F.avg(as_double(c)).alias(f"mean{i}"), F.stddev_samp(as_double(c)).alias(f"std{i}"))
-    ]).first()
+    bounds = exact_quantiles(df, columns, (0.25, 0.75), buffer_rows, {c: moments[c][0] for c in columns})
     measures, limits = [], []
     for i, c in enumerate(columns):
         x = as_double(c)
         q1, q3 = bounds[c]
         low, high = q1 - REPORT_IQR_FACTOR * (q3 - q1), q3 + REPORT_IQR_FACTOR * (q3 - q1)
-        mean, std = moments[f"mean{i}"], moments[f"std{i}"]
+        _, mean, std = moments[c]
         limits.append((low, high, mean, std))
         far = F.abs((x - F.lit(mean)) / F.lit(std)) > REPORT_Z_LIMIT if std else F.lit(False)
         measures += [

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritab.functions.ranking import lookup
 from veritab.schema import col
 
 LOG_SCHEMA = (
@@ -118,13 +119,15 @@ def cache_probe(requests: DataFrame, cache: DataFrame, hash_column: str, stored:
                 hours: int = CACHE_LIFETIME_HOURS) -> DataFrame:
     """Each request with its newest cached entry no older than ``hours``; ``hit`` tells if there is one.
 
-    Entries are cut to one per hash before the join, so the request side keeps
-    its rows and hot hashes meet a single entry.
+    Entries are cut to one per hash before the join, and hashes that very many
+    requests share are joined apart.
     """
     fresh = cache.filter(col(stored) >= now - F.make_interval(hours=F.lit(hours)))
     entries = fresh.groupBy(col(hash_column)).agg(F.max_by(
         F.struct(*[col(c) for c in cache.columns if c != hash_column]), col(stored)).alias("cached"))
-    return requests.join(entries, hash_column, "left").withColumn("hit", F.col("cached").isNotNull())
+    asked = requests.groupBy(col(hash_column)).agg(F.count(F.lit(1)).alias("_asked"))
+    table = entries.join(asked, hash_column).withColumnRenamed(hash_column, "_hash")
+    return lookup(requests, hash_column, table, "_hash", "_asked").withColumn("hit", F.col("cached").isNotNull())
 
 
 def cache_misses(probed: DataFrame) -> DataFrame:
