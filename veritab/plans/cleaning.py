@@ -69,11 +69,25 @@ def apply_operation(df: DataFrame, operation: dict[str, Any]) -> cleaning.Step:
     return OPERATIONS[kind](df, **parameters)
 
 
-def run_operations(df: DataFrame, operations: Sequence[dict[str, Any]], session_id: str = "") -> CleaningResult:
+def _without(operation: dict[str, Any], df: DataFrame, protect: Sequence[str]) -> dict[str, Any]:
+    """Name every other column where an operation means all of them."""
+    parameters = operation.get("parameters") or {}
+    if not protect or parameters.get("columns") or parameters.get("method") == "drop_columns":
+        return operation
+    return {**operation, "parameters": {**parameters, "columns": [c for c in df.columns if c not in protect]}}
+
+
+def run_operations(
+    df: DataFrame,
+    operations: Sequence[dict[str, Any]],
+    session_id: str = "",
+    protect: Sequence[str] = (),
+) -> CleaningResult:
     """Apply the operations in order, each to the output of the one before.
 
     A failing operation is logged and skipped. Row counts in the log come from
-    the counts each operation already took, after one count of the input.
+    the counts each operation already took, after one count of the input. An
+    operation without columns leaves the ``protect`` columns alone.
     """
     if not operations:
         raise ValueError("no operations given")
@@ -92,7 +106,7 @@ def run_operations(df: DataFrame, operations: Sequence[dict[str, Any]], session_
             "columns_before": len(result.data.columns),
         }
         try:
-            data, details = apply_operation(result.data, operation)
+            data, details = apply_operation(result.data, _without(normal, result.data, protect))
         except Exception as error:  # one failing step must not stop the others
             entry.update(status="failed", error=str(error))
         else:
