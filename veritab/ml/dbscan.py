@@ -298,9 +298,10 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         offers = both.join(state.select("node", "grand"), F.col("a") == F.col("node")).groupBy("b").agg(
             F.min("grand").alias("offer"))
-        offered = checkpoint(state.join(offers, F.col("node") == F.col("b"), "left").select(
-            "node", "parent", "grand", F.coalesce("offer", "grand").alias("offer")))
-        hooked = offered.groupBy(F.col("parent").alias("hook")).agg(F.min("offer").alias("hook_offer"))
+        offered = state.join(offers, F.col("node") == F.col("b"), "left").select(
+            "node", "parent", "grand", F.coalesce("offer", "grand").alias("offer"))
+        hooked = offered.groupBy("parent").agg(F.min("offer").alias("hook_offer")).select(
+            F.col("parent").alias("hook"), "hook_offer")
         moved = checkpoint(offered.join(hooked, F.col("node") == F.col("hook"), "left").select(
             "node", F.least("parent", "grand", "offer", F.coalesce("hook_offer", "grand")).alias("parent"),
             F.col("grand").alias("before")))

@@ -134,19 +134,23 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Deep typing: text columns that hold only numbers or only timestamps are named as such."""
-    columns = scalar_columns(df, columns)
+    """Deep typing: text columns that hold only numbers or only timestamps are named as such.
+
+    The same scan counts the rows and missing cells of every column.
+    """
+    columns = df.columns if columns is None else list(columns)
+    require_columns(df, columns)
     types = column_types(df)
     spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    measures = []
+    measures = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
+        measures.append(F.count(col(c)).alias(f"n{i}"))
         if types[c] == "categorical":
             measures += [
-                F.count(col(c)).alias(f"n{i}"),
                 F.count_if(col(c).rlike(NUMBER_PATTERN)).alias(f"num{i}"),
                 F.count(col(c).try_cast("timestamp")).alias(f"ts{i}"),
             ]
-    row = df.agg(*(measures or [F.count(F.lit(1)).alias("rows")]))
+    row = df.agg(*measures)
 
     def inferred(i: int, c: str) -> Column:
         if types[c] != "categorical":
@@ -162,6 +166,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"),
             F.lit(spark_types[c]).alias("current_type"), inferred(i, c).alias("inferred_type"),
+            F.col("rows").alias("total_count"), (F.col("rows") - F.col(f"n{i}")).alias("missing_count"),
         ) for i, c in enumerate(columns)
     ])))
 

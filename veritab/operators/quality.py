@@ -33,11 +33,12 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
             percent(F.col(f"m{i}"), F.col("rows")).alias("missing_percentage"),
         ) for i, c in enumerate(columns)
     ])))
-    share = F.col("missing_percentage")
-    return long.withColumn(
-        "band",
-        F.when(F.col("missing_count") == 0, "complete").when(share > 50, "high")
-        .when(share > 10, "moderate").otherwise("low"),
+    return long.withColumn("band", missing_band(F.col("missing_count"), F.col("missing_percentage")))
+
+
+def missing_band(count: Column, percentage: Column) -> Column:
+    return (
+        F.when(count == 0, "complete").when(percentage > 50, "high").when(percentage > 10, "moderate").otherwise("low")
     )
 
 
@@ -81,11 +82,26 @@ def duplicate_keys(df: DataFrame, key: str, columns: Sequence[str] | None = None
     )
 
 
+def _non_numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    types = column_types(df)
+    return [c for c in scalar_columns(df, columns) if types[c] in ("categorical", "datetime")]
+
+
+def _imbalance_band(rounded_ratio: Column) -> Column:
+    return F.when(rounded_ratio < 0.1, "severe").when(rounded_ratio < 0.3, "moderate").otherwise("balanced")
+
+
+def imbalance_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, ratio_unrounded, band)``: least to most frequent value, for columns with at least two values."""
+    found = value_counts(df, _non_numeric(df, columns)).groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique_values"), (F.min("n") / F.max("n")).alias("ratio_unrounded"))
+    return found.filter(F.col("unique_values") > 1).select(
+        "column", "ratio_unrounded", _imbalance_band(F.bround("ratio_unrounded", 3)).alias("band"))
+
+
 def imbalance_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Imbalance of every non-numeric column that has at least two values."""
-    types = column_types(df)
-    chosen = [c for c in scalar_columns(df, columns) if types[c] in ("categorical", "datetime")]
-    counts = value_counts(df, chosen)
+    counts = value_counts(df, _non_numeric(df, columns))
     # One row per column of the table, whatever its size: bounded, so it may be broadcast.
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total")
@@ -109,7 +125,7 @@ def imbalance_by_column(df: DataFrame, columns: Sequence[str] | None = None) ->
         F.col("entropy"),
         (F.col("entropy") / F.log2(F.col("unique_values"))).alias("normalized_entropy"),
         "most_frequent_value", "most_frequent_count", "least_frequent_value", "least_frequent_count",
-        F.when(rounded < 0.1, "severe").when(rounded < 0.3, "moderate").otherwise("balanced").alias("band"),
+        _imbalance_band(rounded).alias("band"),
     )
 
 
@@ -173,21 +189,24 @@ def quality_summary(
     """
     df = df if columns is None else df.select(*[col(c) for c in columns])
     width = len(df.columns)
-    in_order = F.array_sort(F.collect_list(F.struct("position", "column")))
 
-    def names(structs: Column) -> Column:
-        return F.transform(structs, lambda s: s["column"])
+    def ordered(keep: Column) -> Column:
+        """Names of the columns to keep, in table order."""
+        return F.transform(
+            F.array_sort(F.collect_list(F.when(keep, F.struct("position", "column")))), lambda s: s["column"])
 
-    missing = missing_by_column(df).agg(
+    # Missing cells and text coverage come from one scan.
+    share = percent(F.col("missing_count"), F.col("total_count"))
+    columns_seen = infer_types(df).agg(
         F.max("total_count").alias("total_rows"),
         F.sum("missing_count").alias("total_missing"),
         percent(F.sum("missing_count"), F.sum("total_count")).alias("total_missing_percentage"),
-        names(F.array_sort(F.collect_list(F.when(F.col("band") == "high", F.struct("position", "column")))))
-        .alias("high_missing_columns"),
+        ordered(missing_band(F.col("missing_count"), share) == "high").alias("high_missing_columns"),
+        ordered(potential_conversion()).alias("potential_conversions"),
     )
     duplicates = duplicate_summary(df, scalar_columns(df)).select(
         "duplicate_rows", "duplicate_percentage", "duplicate_groups")
-    imbalance = imbalance_by_column(df).agg(
+    imbalance = imbalance_ratios(df).agg(
         F.bround(F.coalesce(F.avg("ratio_unrounded"), F.lit(1.0)), 3).alias("overall_imbalance_ratio"),
         F.array_sort(F.collect_list(F.when(F.col("band") == "severe", F.col("column"))))
         .alias("severely_imbalanced_columns"),
@@ -196,13 +215,10 @@ def quality_summary(
     )
     outliers = outlier_counts(df, buffer_rows=buffer_rows).agg(
         F.avg("iqr_outlier_percentage").alias("average_outlier_percentage"),
-        names(F.array_sort(F.collect_list(
-            F.when(F.col("iqr_outlier_percentage") > 10, F.struct("position", "column")))))
-        .alias("columns_with_many_outliers"),
+        ordered(F.col("iqr_outlier_percentage") > 10).alias("columns_with_many_outliers"),
     )
-    types = infer_types(df).filter(potential_conversion()).agg(names(in_order).alias("potential_conversions"))
 
-    parts = [missing, duplicates, imbalance, outliers, types]
+    parts = [columns_seen, duplicates, imbalance, outliers]
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part, allowMissingColumns=True)

@@ -19,6 +19,8 @@ def _carrier(data_type: T.DataType) -> str:
         return "bigint"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return "double"
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return data_type.simpleString()
     return "string"
 
 
