@@ -15,6 +15,7 @@ from veritab.ml.vectors import distances_to, feature_array, matrix
 from veritab.schema import col
 
 BLOCK_ROWS = 4096
+CELL_ROWS = 512
 MAX_PIVOTS = 1024
 # Distances are compared with this relative slack, so rounding never prunes a true neighbour.
 SLACK = 1e-9
@@ -44,7 +45,7 @@ def nearest_neighbors(
     copies = F.row_number().over(Window.partitionBy("x").orderBy("neighbor"))
     points = points.withColumn("_copy", copies).filter(F.col("_copy") <= k).drop("_copy")
     rows = points.count()
-    pivot_count = min(MAX_PIVOTS, max(1, rows // block_rows))
+    pivot_count = min(MAX_PIVOTS, max(1, rows // min(CELL_ROWS, block_rows)))
     sample = points.select("x").orderBy(F.xxhash64("neighbor"), "neighbor").limit(pivot_count).collect()
     pivots = matrix([row["x"] for row in sample])
 
@@ -83,10 +84,12 @@ def nearest_neighbors(
                 bound = reach[order[min(enough, len(order) - 1)]] * (1 + SLACK)
                 nearest = np.maximum(gap - outer, inner - gap) * (1 - SLACK)
                 chosen.append([cells[i] for i in np.flatnonzero(nearest <= bound)])
-            yield batch.assign(cell=chosen).explode("cell").astype({"cell": "int32"})
+            yield batch.assign(cells=chosen)
 
     query_type = queries.schema["key"].dataType.simpleString()
-    visits = queries.mapInPandas(visit, f"key {query_type}, q array<double>, cell int")
+    # The copies per visited cell are made row by row in the engine, not in a task's frame.
+    visits = queries.mapInPandas(visit, f"key {query_type}, q array<double>, cells array<int>").select(
+        "key", "q", F.explode("cells").alias("cell"))
     visit_counts = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def blocks(counts: dict[int, int]) -> list[int]:
