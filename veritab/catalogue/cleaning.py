@@ -258,7 +258,7 @@ def cleaning_chain(spark, folder):
 
 
 @query("cleaning_log", (
-    CHAIN_SQL + "SELECT * FROM (SELECT 0 AS step, 'null_filling' AS action, 'completed' AS status, (SELECT count(*) "
+    CHAIN_SQL + "SELECT * FROM (SELECT CAST(0 AS BIGINT) AS step, 'null_filling' AS action, 'completed' AS status, (SELECT count(*) "
     "FROM filled) AS rows_before, (SELECT count(*) FROM filled) AS rows_after UNION ALL SELECT 1, 'null_removal', "
     "'completed', (SELECT count(*) FROM filled), (SELECT count(*) FROM complete) UNION ALL SELECT 2, 'outlier_removal', "
     "'completed', (SELECT count(*) FROM complete), (SELECT count(*) FROM kept) UNION ALL SELECT 3, 'no_such_operation', "

@@ -165,7 +165,7 @@ def prompt_hash(spark, folder):
     "SELECT event_id, CASE WHEN value < 3 THEN 'raw' ELSE 'structured' END AS source, CASE WHEN value < 3 THEN "
     "'exploratory' ELSE event_type END AS analysis_type, CASE WHEN value < 3 THEN concat('no answer for ', event_type) "
     "ELSE 'because' END AS reasoning, CASE WHEN value < 3 THEN NULL ELSE event_type END AS model, CASE WHEN value < 3 "
-    "THEN NULL ELSE round(least(1.0, value / 50), 6) END AS confidence, CASE WHEN value < 3 THEN NULL ELSE 0.5 END AS "
+    "THEN NULL ELSE round(least(1.0, value / 50), 6) END AS confidence, CASE WHEN value < 3 THEN NULL ELSE 0.5::DOUBLE END AS "
     "default_confidence FROM events"
 ))
 def parse_responses_query(spark, folder):

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritab.functions.quantiles import BUFFER_ROWS, exact_quantiles
 from veritab.functions.ranking import BROADCAST_ROWS, BUCKET_ROWS, dense_codes, lookup
@@ -262,11 +263,13 @@ def one_hot_encode(
     added: list[Column] = []
     wide: list[str] = []
     created: dict[str, list[str]] = {}
+    # All columns share one histogram; each gives at most one name more than it may have.
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    names: dict[str, list[str]] = {c: [] for c in chosen}
+    for row in value_counts(df, chosen).withColumn("_rank", rank).filter(F.col("_rank") <= max_categories + 1).collect():
+        names[row["column"]].append(row["value"])
     for c in chosen:
-        values = [
-            row["value"] for row in value_counts(df, [c]).select("value").orderBy("value")
-            .limit(max_categories + 1).collect()
-        ]
+        values = sorted(names[c], key=lambda v: v.encode())
         if len(values) > max_categories:
             wide.append(c)
             created[c] = [f"{c}_vector"]
