@@ -47,7 +47,13 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the place of its first word, and the hashes of all words in row order.
+    """For each row the place of its first word, and the hashes of all words in row order."""
+    places, hashes, _, _ = word_spans(texts)
+    return places, hashes
+
+
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`word_hashes`, with the first byte of each word and the byte after it, counted over all rows.
 
     Words are runs of bytes other than space and 0x09 to 0x0D; A-Z count as a-z.
     Texts are worked on in pieces of about ``SEGMENT_BYTES`` cut between words, so
@@ -55,7 +61,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     ends, raw = text_buffers(texts)
     if not len(raw):
-        return np.zeros(len(ends), np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(len(ends), np.int64), np.zeros(0, np.uint64), none, none
     space = _SPACE[raw]
     starts_here = ~space
     starts_here[1:] &= space[:-1]
@@ -73,7 +80,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         end = max(begin + 1, int(np.searchsorted(stops, starts[begin] + SEGMENT_BYTES, "right")))
         hashes[begin:end] = _hash_run(raw, starts[begin:end], stops[begin:end])
         begin = end
-    return np.searchsorted(starts, ends), hashes
+    return np.searchsorted(starts, ends), hashes, starts, stops
 
 
 def firsts_to_lasts(ends: np.ndarray) -> np.ndarray:
