@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.session import shared_folder
 
@@ -79,5 +80,6 @@ class Scratch:
             cls._open.pop().close()
 
 
-def columns_of(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.select(*[df[n] for n in names])
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose counted rows are few; else leave the join to a shuffle, with equal results."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.base import BROADCAST_ROWS, Scratch, query, table
+from veritab.llm.base import Scratch, query, sized, table
 
 MAX_HASHES = 256
 MISS = 1e-6
@@ -43,11 +43,6 @@ def hashes_needed(items: Column, upper: Column, percent: int) -> Column:
     return F.when(jaccard >= 1, 1).otherwise(F.ceil(math.log(MISS) / F.log1p(-jaccard))).cast("int")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose row count is known to be small; else leave the join to a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def contained_items(documents: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item``: documents that hold at least ``percent`` of an item's shingles.
 
@@ -79,7 +74,7 @@ def contained_items(documents: DataFrame, items: DataFrame, shingle: int = 5, pe
         "doc_id", F.explode(F.concat(*[_grams("_w", n) for n in lengths] or [F.array().cast("array<bigint>")]))
         .alias("h"))
     foreign = scratch.write(
-        grams.join(_sized(vocabulary, n_words), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("x"))
+        grams.join(sized(vocabulary, n_words), "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("x"))
         .withColumn("part", F.ceil(F.log2(F.size("x").cast("double"))).cast("int")))
 
     parts = sorted(r[0] for r in foreign.select("part").distinct().collect())  # at most one per power of two
@@ -104,13 +99,13 @@ def contained_items(documents: DataFrame, items: DataFrame, shingle: int = 5, pe
     item_keys = keyed(by_hash.select("item_id", "q", "part", "hashes"), "q")
     document_keys = keyed(foreign.withColumn("hashes", document_hashes).filter("hashes > 0"), "x")
     n_keys = n_items * max([1, *most.values()]) * max(1, len(parts))
-    candidates = document_keys.join(_sized(item_keys, n_keys), "key").select("doc_id", "item_id").distinct()
-    near = candidates.join(foreign.select("doc_id", "x"), "doc_id").join(_sized(item_sets, n_grams), "item_id").select(
+    candidates = document_keys.join(sized(item_keys, n_keys), "key").select("doc_id", "item_id").distinct()
+    near = candidates.join(foreign.select("doc_id", "x"), "doc_id").join(sized(item_sets, n_grams), "item_id").select(
         "doc_id", "item_id", F.size(F.array_intersect("x", "q")).cast("long").alias("n_shared"),
         F.size("q").cast("long").alias("n_item"))
     far = (
-        foreign.select("doc_id", "part", F.explode("x").alias("h")).join(_sized(item_grams, n_grams), "h")
-        .join(_sized(direct, n_items * max(1, len(parts))), ["part", "item_id"])
+        foreign.select("doc_id", "part", F.explode("x").alias("h")).join(sized(item_grams, n_grams), "h")
+        .join(sized(direct, n_items * max(1, len(parts))), ["part", "item_id"])
         .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"),
                                           F.first("n_item").cast("long").alias("n_item")))
     return near.unionByName(far).filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.base import Scratch, query, table
-from veritab.llm.words import mix, shingle_hashes, small_batches, word_hashes
+from veritab.llm.words import distinct, mix, shingle_hashes, small_batches, word_hashes
 
 BANDS = 48
 BAND_ROWS = 6
@@ -100,7 +100,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
 
 def _document_sets(batch: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
     places, hashes = word_hashes(batch.column("text"))
-    return [np.unique(shingle_hashes(hashes[a:b], shingle)) for a, b in zip(places[:-1], places[1:])]
+    return [distinct(shingle_hashes(hashes[a:b], shingle)) for a, b in zip(places[:-1], places[1:])]
 
 
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:

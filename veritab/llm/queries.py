@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from veritab.llm import decontamination, near_dedup, passages  # noqa: F401
+from veritab.llm import decontamination, near_dedup, passages, quality  # noqa: F401
 from veritab.llm.base import QUERIES, SQL  # noqa: F401

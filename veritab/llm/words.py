@@ -102,6 +102,17 @@ def _hash_run(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndar
     return mix((sums[stops - low] - sums[s]) * _POWERS[1][s])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    if len(values) < 2:
+        return values
+    ordered = np.sort(values)
+    first = np.empty(len(ordered), bool)
+    first[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered[first]
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; a shorter sequence counts as one run as a whole."""
     n = len(words)
