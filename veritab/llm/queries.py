@@ -1,4 +1,5 @@
 """All queries of this subpackage."""
 
-from veritab.llm import decontamination, near_dedup, passages, quality  # noqa: F401
+import corpus_pipeline  # noqa: F401
+from veritab.llm import decontamination, near_dedup, passages, pieces, quality  # noqa: F401
 from veritab.llm.base import QUERIES, SQL  # noqa: F401
