@@ -40,7 +40,7 @@ FILE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 DICTIONARY_DOCUMENTS = 1000
 LEVEL = 3
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 350_000
 LONGEST_CACHED = 48
 
 # The word pattern of the tokenizer's file, and the same for lower-case printable Western letters and signs.
@@ -49,6 +49,20 @@ _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+# Byte-level vocabularies write bytes as printable letters: printable ones as they are, the others from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + _OTHERS.index(b) for b in range(256)}
+
+
+def _byte_letters(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def pack_ids(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class CachedTokenizer:
     """Ids of whole texts from the tokenizers library, each distinct word encoded once per worker.
 
@@ -82,8 +96,11 @@ class CachedTokenizer:
         wanted: set[str] = set()
         wanted.update(*parts.values())
         missing = sorted(wanted.difference(self.parts))
-        self.parts.update(
-            (p, np.array(i, np.uint32).tobytes()) for p, i in zip(missing, self._encode(missing)))
+        plain = [p for p in missing if self.cuts and simple(p) and "<|" not in p]
+        tokenize = self.library.model.tokenize
+        self.parts.update((p, pack_ids(*[t.id for t in tokenize(_byte_letters(p))])) for p in plain)
+        other = sorted(set(missing).difference(plain))
+        self.parts.update((p, pack_ids(*i)) for p, i in zip(other, self._encode(other)))
         known = self.parts
         fresh = {w: b"".join([known[p] for p in own]) for w, own in parts.items()}
         if len(known) > CACHE_ENTRIES:
@@ -109,7 +126,7 @@ class CachedTokenizer:
                 joined = b"".join([young[w] if w in young else long[w] for w in words])
             else:
                 joined = b"".join(map(young.__getitem__, words))
-            out.append(np.frombuffer(joined, np.uint32))
+            out.append(np.frombuffer(joined, "<u4"))
         if len(young) > CACHE_ENTRIES:
             self.old, self.young = young, {}
         return out
