@@ -1,5 +1,7 @@
 """All queries of this subpackage."""
 
 import corpus_pipeline  # noqa: F401
-from veritab.llm import decontamination, host_reputation, html_text, near_dedup, passages, pieces, quality, token_files  # noqa: F401
+from veritab.llm import (
+    decontamination, host_reputation, html_text, licenses, near_dedup, neighbours, passages, pieces, quality, token_files,
+)  # noqa: F401
 from veritab.llm.base import QUERIES, SQL  # noqa: F401
