@@ -11,11 +11,13 @@ may reach the threshold is verified on the full sets.
 
 Groups of copies are never expanded into all their pairs. Equal sets are one
 class. A band value shared by many classes offers its members two of them as
-partners, and a class is verified against those it shares most bands with. After
-each round only band values that still hold several components matter, and only
-members outside the largest one look for partners. In the last round all pairs of
-different components that share ``SHARED`` bands are verified, so no link is
-given up: a pair at similarity 0.8 shares fewer with probability 8e-6.
+partners, and a class is verified against those it shares most bands with. Then
+only band values that still hold several components matter, and only members
+outside the largest one look for partners: first among a few of it, at last, by
+their sketches, among all members. All pairs of different components that share
+``SHARED`` bands and are likely enough are verified, so no link is given up: a pair
+at similarity 0.8 shares fewer bands with probability 8e-6 and looks too unlikely,
+at 3.5 deviations, with probability 2e-4.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritab.llm.base import Scratch, query, table
-from veritab.llm.words import distinct, mix, shingle_hashes, small_batches, word_hashes
+from veritab.llm.words import distinct, grouped, mix, shingle_hashes, small_batches, word_hashes
 
 BANDS = 48
 BAND_ROWS = 6
@@ -38,8 +41,9 @@ BASE = 1.001
 RATE = 20.0
 LIMIT = 65_534
 SHARED = 2
-ROUNDS = 4
-SLACK = 0.12
+OFFERS = 4
+BLOCK_MEMBERS = 512
+SLACK = 0.085
 
 
 def set_sketches(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
@@ -126,17 +130,51 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        registers = _matrix(batch.column("sketch")).reshape(batch.num_rows, BANDS, BAND_ROWS)
-        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15),
-                               (batch.num_rows, BANDS))
-        for i in range(BAND_ROWS):
-            keys = mix(keys + registers[:, :, i].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        keys = _band_keys(_matrix(batch.column("sketch")))
         yield pa.record_batch({
-            "band": pa.array(keys.ravel().view(np.int64)),
+            "band": pa.array(keys.ravel()),
             "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)),
         })
 
 
+def _band_keys(sketches: np.ndarray) -> np.ndarray:
+    registers = sketches.reshape(len(sketches), BANDS, BAND_ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15),
+                           (len(sketches), BANDS))
+    for i in range(BAND_ROWS):
+        keys = mix(keys + registers[:, :, i].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return keys.view(np.int64)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of strays and members of one block of a band value, each pair at the first band it shares."""
+    for group in grouped(batches, ["band", "block"]):
+        asks = group["asks"].to_numpy()
+        if asks.all() or not asks.any():
+            continue
+        group = group.combine_chunks()
+        sketches = _matrix(group["sketch"].combine_chunks())
+        rep, root, n, stray = (group[c].to_numpy() for c in ("rep", "root", "n", "stray"))
+        here = int(np.flatnonzero(_band_keys(sketches[:1])[0] == group["band"][0].as_py())[0])
+        pool = np.flatnonzero(~asks)
+        left, right = [], []
+        for i in np.flatnonzero(asks).tolist():
+            open_pool = pool[(root[pool] != root[i]) & (~stray[pool] | (rep[pool] > rep[i]))]
+            equal = sketches[open_pool] == sketches[i]
+            open_pool, equal = (x[equal.mean(axis=1) >= least - SLACK] for x in (open_pool, equal))
+            shared = equal.reshape(len(open_pool), BANDS, BAND_ROWS).all(axis=2)
+            wanted = open_pool[(shared.sum(axis=1) >= SHARED) & (shared.argmax(axis=1) == here)]
+            if len(wanted):
+                guess = joint_similarity(np.repeat(sketches[i:i + 1], len(wanted), axis=0), sketches[wanted],
+                                         np.full(len(wanted), n[i]), n[wanted])
+                wanted = wanted[guess >= least]
+                left += [rep[i]] * len(wanted)
+                right += rep[wanted].tolist()
+        if left:
+            yield pa.record_batch({"a": pa.array(np.minimum(left, right), pa.int64()),
+                                   "b": pa.array(np.maximum(left, right), pa.int64())})
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
@@ -249,42 +287,57 @@ class _Rounds:
         offers = members.select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))
         links = self.scratch.write(self._linked(self._picked(offers)))
         open_bands = members.filter("size > 2").select("band", "rep")
-        for number in range(1, ROUNDS + 1):
+        for last in (False, True):
             roots = components(self.scratch, links)
             placed = self.scratch.write(open_bands.join(roots, F.col("rep") == F.col("node"), "left").select(
                 "band", "rep", F.coalesce("root", "rep").alias("root")))
-            one = F.min(F.struct(F.xxhash64("rep", F.lit(number)).alias("order"), "rep"))["rep"].alias("one")
-            parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), one)
-            mixed = self.scratch.write(parts.groupBy("band").agg(
-                F.max(F.struct("k", "root", "one")).alias("big"), F.min(F.struct("k", "root", "one")).alias("small"),
-                F.sum("k").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"))
-            # Members outside the largest component of a band value, and what they could be compared with.
-            strays = self.scratch.write(placed.join(mixed, "band").filter("root != big.root").select(
-                "band", "rep", "root", "size", F.col("big.one").alias("big_one"), F.col("small.one").alias("small_one"),
-                F.col("small.root").alias("small_root")))
+            some = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("order"), "rep"))["rep"].alias(f"one{i}")
+                    for i in range(OFFERS)]
+            parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), *some)
+            mixed = parts.groupBy("band").agg(
+                F.max(F.struct("k", "root", *[f"one{i}" for i in range(OFFERS)])).alias("big"),
+                F.min(F.struct("k", "root", "one0")).alias("small"), F.sum("k").alias("size"),
+                F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+            live = self.scratch.write(placed.join(mixed, "band"))
+            # Members outside the largest component of a band value look for partners.
+            strays = live.filter("root != big.root")
             if strays.isEmpty():
                 break
-            if number < ROUNDS:
-                offers = strays.select(F.col("rep").alias("x"), F.explode(F.array(
-                    F.col("big_one"), F.when(F.col("small_root") != F.col("root"), F.col("small_one")))).alias("y"))
-                pairs = self._picked(offers.filter("y IS NOT NULL"))
+            if last:
+                pairs = self._all_likely(live)
             else:
-                mates = placed.select("band", F.col("rep").alias("y"), F.col("root").alias("y_root"))
-                pairs = strays.join(mates, "band").filter("root != y_root").select(
-                    F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"), "band").distinct().groupBy(
-                    "a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+                offers = strays.select(F.col("rep").alias("x"), F.explode(F.array(
+                    *[F.col(f"big.one{i}") for i in range(OFFERS)],
+                    F.when(F.col("small.root") != F.col("root"), F.col("small.one0")))).alias("y"))
+                pairs = self._picked(offers.filter("y IS NOT NULL"), OFFERS)
             found = self.scratch.write(self._linked(pairs))
             joined = self.scratch.write(links.unionByName(found).distinct())
-            self.scratch.drop(links, found, placed, mixed, strays)
+            self.scratch.drop(links, found, placed, live)
             links = joined
         return links
 
-    def _picked(self, offers: DataFrame) -> DataFrame:
-        """For each ``x`` the one or two partners ``y`` it shares most bands with, at least ``SHARED``: ties to either end."""
+    def _all_likely(self, live: DataFrame) -> DataFrame:
+        """All pairs of different components that share ``SHARED`` bands and may be alike enough, each once.
+
+        A band value is dealt into blocks of about ``BLOCK_MEMBERS`` members; its
+        strays visit every block, so no task holds more than a block and them.
+        """
+        blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+        stray = F.col("root") != F.col("big.root")
+        fields = ["band", "rep", "root", "block", "asks", "stray"]
+        pool = live.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn(
+            "asks", F.lit(False)).withColumn("stray", stray).select(*fields)
+        asking = live.filter(stray).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
+            "asks", F.lit(True)).withColumn("stray", F.lit(True)).select(*fields)
+        dealt = pool.unionByName(asking).join(self.reps.select("rep", "n", "sketch"), "rep")
+        return dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(
+            partial(_compare, least=self.percent / 100 - SLACK), "a long, b long")
+
+    def _picked(self, offers: DataFrame, picks: int = 2) -> DataFrame:
+        """For each ``x`` the ``picks`` partners ``y`` it shares most bands with, at least ``SHARED``."""
         counted = offers.filter("x != y").groupBy("x", "y").count().filter(F.col("count") >= SHARED)
-        best = counted.groupBy("x").agg(F.max(F.struct("count", "y")).alias("first"),
-                                        F.min(F.struct(-F.col("count"), F.col("y"))).alias("second"))
-        return best.select("x", F.explode(F.array("first.y", "second.y")).alias("y")).select(
+        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("count"), "y"))
+        return counted.withColumn("rank", rank).filter(F.col("rank") <= picks).select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def _linked(self, pairs: DataFrame) -> DataFrame:

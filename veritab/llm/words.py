@@ -143,3 +143,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iter
             stop = min(stop, batch.num_rows)
             yield batch.slice(row, stop - row)
             row = stop
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys as one table, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in columns:
+            changes |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
