@@ -17,7 +17,7 @@ outside the largest one look for partners: first among a few of it, at last, by
 their sketches, among all members. All pairs of different components that share
 ``SHARED`` bands and are likely enough are verified, so no link is given up: a pair
 at similarity 0.8 shares fewer bands with probability 8e-6 and looks too unlikely,
-at 3.5 deviations, with probability 2e-4.
+at 3.4 deviations, with probability 4e-4.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ BASE = 1.001
 RATE = 20.0
 LIMIT = 65_534
 SHARED = 2
-OFFERS = 4
+OFFERS = 8
 BLOCK_MEMBERS = 512
-SLACK = 0.085
+SLACK = 0.08
 
 
 def set_sketches(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
