@@ -18,7 +18,6 @@ from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
-from itertools import chain
 from operator import add
 
 import numpy as np
@@ -32,7 +31,8 @@ from veritab.llm.base import query, table
 from veritab.llm.words import small_batches
 
 SPACE = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
+BATCH_BYTES = 2 << 20
 LONGEST_CACHED = 64
 MANY = 20_000
 
@@ -55,8 +55,8 @@ class PieceEncoder:
         if lib.normalize("a  ﬁ") != SPACE + "a" + 2 * SPACE + "ﬁ":
             raise ValueError("only models that keep the text as it is are supported")
         self._prepare_agendas()
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_symbols(self, text: str) -> list[int]:
         """Ids of a text whose spaces are already marked, from the agenda."""
@@ -188,35 +188,40 @@ class PieceEncoder:
             ids += self.encode_symbols(s)
         return tuple(ids)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as the library gives them, without begin or end ids."""
         rows = [self._words(t) for t in texts]
         young, old = self.young, self.old
-        missing = set()
+        missing: set[str] = set()
         for words in rows:
             missing.update(words)
         missing.difference_update(young)
         known = missing.intersection(old)
         young.update((w, old[w]) for w in known)
-        new = missing - known
-        short = [w for w in new if len(w) <= LONGEST_CACHED]
-        fresh = {w: self._word(w) for w in new if len(w) > LONGEST_CACHED}
+        new = list(missing - known)
+        marked = [w if SPACE in w else SPACE + w for w in new]
+        fresh = {w: self._word(w) for w in marked if len(w) > LONGEST_CACHED}
+        short = [w for w in marked if len(w) <= LONGEST_CACHED]
         for at in range(0, len(short), MANY):
             fresh.update(zip(short[at:at + MANY], self.encode_many(short[at:at + MANY])))
         self._check(fresh)
-        long = {w: fresh.pop(w) for w in list(fresh) if len(w) > LONGEST_CACHED}
-        young.update(fresh)
+        packed = {w: np.array(fresh[m], "<u4").tobytes() for w, m in zip(new, marked)}
+        long = {w: packed.pop(w) for w, m in zip(new, marked) if len(m) > LONGEST_CACHED}
+        young.update(packed)
         here = ChainMap(young, long).__getitem__ if long else young.__getitem__
-        out = [list(chain.from_iterable(map(here, words))) for words in rows]
+        out = [np.frombuffer(b"".join(map(here, words)), "<u4") for words in rows]
         if len(young) > CACHE_ENTRIES:  # keep what recent batches used
             self.old, self.young = young, {}
         return out
 
     @staticmethod
     def _words(text: str) -> list[str]:
+        """Words of a text: plain ones without their mark, those with several or inner marks as they are."""
         if not text:
             return []
-        return _WORD.findall(SPACE + text.replace(" ", SPACE))
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            return _WORD.findall(SPACE + text.replace(" ", SPACE))
+        return text.split(" ")
 
     def _check(self, fresh: dict[str, tuple[int, ...]]) -> None:
         words = [w for w in fresh if w[0] == SPACE]  # the library adds the first space itself
@@ -224,8 +229,8 @@ class PieceEncoder:
             if len(w) > 1 and tuple(ids) != fresh[w]:
                 raise ValueError(f"encoding of {w[:200]!r} differs from the library: {fresh[w]} and {ids}")
 
-    def decode_batch(self, rows: list[list[int]]) -> list[str]:
-        return [self.library.decode(ids) if ids else "" for ids in rows]
+    def decode_batch(self, rows: list[np.ndarray]) -> list[str]:
+        return [self.library.decode(ids.tolist()) if len(ids) else "" for ids in rows]
 
 
 # A word is a run of marked spaces with the text up to the next one.
@@ -244,13 +249,15 @@ def model_path() -> str:
 def _encoded(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
     tool = encoder(model_file)
     gc.disable()  # nothing here forms cycles, and the caches hold very many small objects
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, size=BATCH_BYTES):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids = tool.encode_batch(texts)
         decoded = tool.decode_batch(ids)
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"),
-            "ids": pa.array(ids, pa.list_(pa.int32())),
+            "ids": pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()),
+                pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))),
             "decoded": pa.array(decoded, pa.string()),
         })
 
@@ -271,11 +278,13 @@ def encoded_texts(documents: DataFrame, model_file: str | None = None) -> DataFr
 
 def _digests(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
     for batch in _encoded(batches, model_file):
-        ids = batch.column("ids").to_pylist()
+        column = batch.column("ids")
+        cuts, flat = column.offsets.to_pylist(), column.values.to_numpy()
+        ids = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"),
             "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-            "ids_sha256": [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids],
+            "ids_sha256": [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids],
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()],
         })
 

@@ -40,7 +40,7 @@ FILE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 DICTIONARY_DOCUMENTS = 1000
 LEVEL = 3
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 LONGEST_CACHED = 48
 
 # The word pattern of the tokenizer's file, and the same for lower-case printable Western letters and signs.
@@ -214,7 +214,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, dictionary
         return pa.record_batch({"file": [f"{name}.tokens"], "n_documents": pa.array([len(ids)], pa.int64()),
                                 "n_tokens": pa.array([tokens], pa.int64())})
 
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, size=2 << 20):
         arrays = tool.encode_batch([t or "" for t in batch.column("text").to_pylist()])
         for doc, array in zip(batch.column("doc_id").to_pylist(), arrays):
             array = np.append(array, np.uint32(END_ID))

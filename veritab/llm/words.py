@@ -131,15 +131,16 @@ def _combine(parts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``BATCH_BYTES`` of text, or one row."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES
+                  ) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``size`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ends, _ = text_buffers(batch.column(text))
         row = 0
         while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + BATCH_BYTES, "right")) - 1)
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
             stop = min(stop, batch.num_rows)
             yield batch.slice(row, stop - row)
             row = stop
