@@ -78,9 +78,9 @@ def test_one_hot(spark):
     done, _ = cleaning.one_hot_encode(df)
     assert done.columns == ["k", "x_a", "x_b"]
     assert [tuple(r)[1:] for r in done.orderBy("k").collect()] == [(True, False), (False, False), (False, True)]
-    wide, _ = cleaning.one_hot_encode(df, max_categories=1)
+    wide, _ = cleaning.one_hot_encode(df, form="vector")
     assert [v.toArray().tolist() for v in column(wide, "x_vector")] == [[1, 0], [0, 0], [0, 1]]
-    first, _ = cleaning.one_hot_encode(df, max_categories=1, drop_first=True)
+    first, _ = cleaning.one_hot_encode(df, form="vector", drop_first=True)
     assert [v.toArray().tolist() for v in column(first, "x_vector")] == [[0], [0], [1]]
 
 

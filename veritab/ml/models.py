@@ -259,7 +259,7 @@ def train_unsupervised(
     else:
         vectors = rows.withColumn("features", array_to_vector("x"))
         model = fit_kmeans(vectors, int(parameters.get("n_clusters", 3)), int(parameters.get("random_state", 42)),
-                           int(parameters.get("n_init", 1)))
+                           int(parameters.get("n_init", 10)))
         centers = [[float(v) for v in c] for c in model.clusterCenters()]
         labelled = model.transform(vectors).select("key", "x", F.col("prediction").cast("bigint").alias("label"))
     metrics = clustering_metrics(labelled, ["x"], "label", "key")

@@ -116,7 +116,7 @@ def variance_importance(df: DataFrame, columns: Sequence[str] | None = None) ->
     return _ranked(wide.select(total.alias("total"), "*").select(F.inline(F.array(*[
         F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("feature"),
-            F.when(F.col("total") > 0, F.col(f"v{i}") / F.col("total")).otherwise(1.0 / len(columns))
+            F.when(F.col("total") > 0, F.coalesce(F.col(f"v{i}"), F.lit(0.0)) / F.col("total")).otherwise(1.0 / len(columns))
             .alias("importance"),
         ) for i, c in enumerate(columns)
     ]))))

@@ -14,7 +14,6 @@ from typing import Any
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veritab.functions.quantiles import BUFFER_ROWS, exact_quantiles
 from veritab.functions.ranking import BROADCAST_ROWS, BUCKET_ROWS, dense_codes, lookup
@@ -252,31 +251,33 @@ def one_hot_encode(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     drop_first: bool = False,
-    max_categories: int = 1000,
+    form: str = "columns",
 ) -> Step:
     """One boolean column ``{column}_{value}`` per category, appended in order; the original is dropped.
 
-    A column with more than ``max_categories`` values gets one sparse vector
-    column ``{column}_vector`` instead, with the same slots in the same order.
+    With ``form="vector"`` each column gets one sparse vector column
+    ``{column}_vector`` instead, with the same slots in the same order. The form
+    never depends on the data.
     """
+    if form not in ("columns", "vector"):
+        raise ValueError(f"form is columns or vector, not {form}")
     chosen = categorical(df, columns)
     added: list[Column] = []
     wide: list[str] = []
     created: dict[str, list[str]] = {}
-    # All columns share one histogram; each gives at most one name more than it may have.
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     names: dict[str, list[str]] = {c: [] for c in chosen}
-    for row in value_counts(df, chosen).withColumn("_rank", rank).filter(F.col("_rank") <= max_categories + 1).collect():
-        names[row["column"]].append(row["value"])
-    for c in chosen:
-        values = sorted(names[c], key=lambda v: v.encode())
-        if len(values) > max_categories:
-            wide.append(c)
-            created[c] = [f"{c}_vector"]
-            continue
-        kept = values[1:] if drop_first else values
-        created[c] = [f"{c}_{v}" for v in kept]
-        added += [F.coalesce(col(c) == v, F.lit(False)).alias(f"{c}_{v}") for v in kept]
+    if form == "vector":
+        wide = list(chosen)
+        created = {c: [f"{c}_vector"] for c in chosen}
+    else:
+        # All columns share one histogram.
+        for row in value_counts(df, chosen).select("column", "value").collect():
+            names[row["column"]].append(row["value"])
+        for c in chosen:
+            values = sorted(names[c], key=lambda v: v.encode())
+            kept = values[1:] if drop_first else values
+            created[c] = [f"{c}_{v}" for v in kept]
+            added += [F.coalesce(col(c) == v, F.lit(False)).alias(f"{c}_{v}") for v in kept]
     encoded = df.select(*[col(c) for c in df.columns if c not in chosen or c in wide], *added)
     for c in wide:
         encoded = _one_hot_vector(encoded, df, c, drop_first)

@@ -52,7 +52,8 @@ def read_csv(
     corrupt = "_malformed_row"
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, corrupt]])
     raw = (
-        reader.schema(text_schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).csv(path)
+        reader.schema(text_schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+        .option("enforceSchema", False).csv(path)
     )
     text = raw.select(
         *[F.when(~col(n).isin(list(na_tokens)), col(n)).alias(n) for n in names], F.col(corrupt))
@@ -79,7 +80,7 @@ def _inferred(text: DataFrame, names: Sequence[str], corrupt: str, infer: bool)
             F.count_if(value.rlike(BOOLEAN_PATTERN)).alias(f"bool{i}"),
         ]
     # The optimizer would prune the text columns that only the malformed-row check needs.
-    row = text.agg(*measures, F.count(F.hash(*[col(n) for n in names])).alias("_rows")).first()
+    row = text.agg(*measures, F.max(F.hash(*[col(n) for n in names])).alias("_rows")).first()
     if row["malformed"]:
         raise DatasetError(
             f"{row['malformed']} rows do not fit the header, for example {row['example']!r}; "
