@@ -70,7 +70,7 @@ def test_null_removal(ten):
 def test_label_codes(spark):
     df = keyed(spark, ["b", "a", None], "string")
     assert column(cleaning.label_encode(df)[0], "x") == [1, 0, None]
-    assert column(cleaning.label_encode(df, reference_null_codes=True)[0], "x") == [2, 1, None]
+    assert column(cleaning.label_encode(df, placeholder_code=True)[0], "x") == [2, 1, None]
 
 
 def test_one_hot(spark):

@@ -168,10 +168,35 @@ def test_many_classes(spark):
         assert {r["prediction"] for r in result.predictions.collect()} <= {2, 4, 9}
 
 
+def test_class_count_changes_nothing(spark):
+    for groups in (1000, 1001):
+        df = spark.range(2 * groups).select("id", (F.col("id") % groups).alias("y"), (F.col("id") % groups * 1.0).alias("a"))
+        result = models.train_supervised(df, "knn", "y", "id", ["a"], {"n_neighbors": 1, "test_size": 0.5})
+        assert result.predictions.count() > 0 and len(result.classes) == groups
+        pairs = charts.confusion_matrix(df.withColumn("p", F.col("y")), "y", "p")
+        assert pairs.count() == groups
+
+
+def test_forest_with_many_classes(spark):
+    df = spark.range(1200).select("id", (F.col("id") % 120).alias("y"), (F.col("id") % 120 * 1.0).alias("a"))
+    result = models.train_supervised(df, "random_forest", "y", "id", ["a"], {"n_estimators": 2, "max_depth": 9})
+    assert result.extra["max_depth"] == 9 and result.metrics.first()["accuracy"] > 0.2
+    with pytest.raises(ValueError):
+        models.train_supervised(df, "random_forest", "y", "id", ["a"], {"max_depth": 31})
+
+
+def test_confusion_grid_with_nulls(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", None)], "y string, p string")
+    got = {(r["label"], r["prediction"]): r["n"] for r in charts.confusion_matrix(df, "y", "p", grid=True).collect()}
+    assert len(got) == 16 and sum(got.values()) == 3 and got["c", None] == 1 and got["b", "c"] == 0
+
+
 def test_clusterings(spark):
     df = points(spark, blobs()[:100]).select("key", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
     means = models.train_unsupervised(df, "kmeans", "key", parameters={"n_clusters": 2})
     assert means.feature_columns == ["a", "b"] and len(means.centers) == 2
+    linear = models.train_unsupervised(df, "kmeans", "key", parameters={"n_clusters": 2, "silhouette": "squared"})
+    assert linear.metrics.first()["silhouette_squared"] > 0.9
     assert means.metrics.first()["n_clusters"] == 2 and means.metrics.first()["silhouette_score"] > 0.7
     dense = models.train_unsupervised(df, "dbscan", "key", parameters={"eps": 0.8})
     assert dense.metrics.first()["n_clusters"] == 2

@@ -185,3 +185,9 @@ def test_missing_bands(spark):
         F.when(F.col("id") < 4, F.col("id")).alias("high"), F.when(F.col("id") < 8, F.col("id")).alias("moderate"),
         F.when(F.col("id") < 9, F.col("id")).alias("low"), F.col("id").alias("complete"))
     assert all(r["column"] == r["band"] for r in quality.missing_by_column(df).collect())
+
+
+def test_frames_without_scalar_columns(spark):
+    df = spark.createDataFrame([([1],)], "x array<int>")
+    assert profile.column_statistics(df).count() == 0
+    assert profile.infer_types(df, []).count() == 0 and quality.missing_by_column(df, []).count() == 0

@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from oracle import compare, connect
 
 SQL = entry.oracle_sql()
-SLOW = {"dbscan_training", "svm_rbf", "random_forest", "cluster_plot_data"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +18,7 @@ def test_matches_sql(spark, data, con, name):
     assert compare(spark, con, data, entry.queries()[name], SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
 def test_runs(spark, data, name):
     assert entry.queries()[name](spark, data).count() > 0
 

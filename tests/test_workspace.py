@@ -41,7 +41,9 @@ def test_ten_rows_end_to_end(spark, ten, workspace):
 
     found = workspace.recommend(session)
     assert found["characteristics"].first()["size_class"] == "small"
-    workspace.recommend(session)
+    assert not found["models"].first()["cached"]
+    again = workspace.recommend(session)["models"].first()
+    assert again["cached"] and again["recommended_models"] == found["models"].first()["recommended_models"]
     assert spark.read.parquet(f"{workspace.root}/responses").count() == 1
     assert spark.read.parquet(f"{workspace.root}/decisions").count() == 2
 
@@ -64,6 +66,7 @@ def test_training_stores_charts(spark, workspace):
     assert workspace.chart(session, "correlation_heatmap").count() == 1
     assert workspace.chart(session, "cluster_plot", restarts=1).count() == 120
     workspace.train(session, "kmeans", features=["a", "b"], parameters={"n_clusters": 2})
+    assert workspace.chart(session, "cluster_centers").count() == 2
     assert workspace.chart(session, "cluster_distribution").agg(F.sum("n")).first()[0] == 120
     with pytest.raises(ValueError):
         workspace.chart(session, "pie")

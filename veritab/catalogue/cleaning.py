@@ -176,7 +176,7 @@ def label_encode(spark, folder):
     f"coalesce(o_orderpriority, '__MISSING__') AS v FROM {ORDERS.sql} s) d) p ON p.v = o_orderpriority"
 ))
 def label_encode_placeholder(spark, folder):
-    done, _ = cleaning.label_encode(ORDERS.frame(spark, folder), ["o_orderpriority"], reference_null_codes=True)
+    done, _ = cleaning.label_encode(ORDERS.frame(spark, folder), ["o_orderpriority"], placeholder_code=True)
     return done.select("o_orderkey", "o_orderpriority")
 
 

@@ -54,7 +54,7 @@ def scored(spark, folder):
     "GROUP BY a.c, b.c"
 ))
 def confusion(spark, folder):
-    return as_bigint(charts.confusion_matrix(scored(spark, folder), "quality", "predicted"), ["label", "prediction"])
+    return as_bigint(charts.confusion_matrix(scored(spark, folder), "quality", "predicted", grid=True), ["label", "prediction"])
 
 
 CLASS_SQL = (

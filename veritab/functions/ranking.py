@@ -111,7 +111,7 @@ def lookup(
 ) -> DataFrame:
     """Left join ``df`` to ``table`` (unique on ``table_key``, ``weight`` = rows of ``df`` per key).
 
-    A table of checked size in rows and key bytes is broadcast. Otherwise the
+    A table of checked size in rows and bytes is broadcast. Otherwise the
     keys that hold more than one row in ``HOT_SHARE`` (so at most ``HOT_SHARE``
     keys) are broadcast, and only the other rows are shuffled to the join.
     """
@@ -121,14 +121,16 @@ def lookup(
     def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
         return rows.join(side.drop("_weight"), col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
 
-    key_bytes = F.sum(F.octet_length(F.to_json(F.struct(col(table_key)))))
-    size, total, held = table.agg(F.count(F.lit(1)), F.sum(col(weight)), key_bytes).first()
+    row_bytes = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    size, total, held = renamed.agg(F.count(F.lit(1)), F.sum("_weight"), row_bytes).first()
     if size <= broadcast_rows and (held or 0) <= BROADCAST_BYTES:
         return joined(df, F.broadcast(renamed))
     limit = max(1, (total or 0) // HOT_SHARE)
     hot = renamed.filter(F.col("_weight") > limit)
     key_type = renamed.schema["_lookup_key"].dataType
     hot_keys = [_literal(row[0], key_type) for row in hot.select("_lookup_key").collect()]
+    # Hot rows too large to broadcast leave their join to adaptive execution, which splits skewed partitions.
+    small = (hot.agg(row_bytes).first()[0] or 0) <= BROADCAST_BYTES
     if not hot_keys:
         return joined(df, renamed)
     is_hot = F.coalesce(col(key).isin(hot_keys), F.lit(False))
@@ -136,7 +138,7 @@ def lookup(
         F.lit(None).cast(renamed.schema[c].dataType).alias(c) for c in payload
     ])
     return (
-        joined(df.filter(is_hot), F.broadcast(hot))
+        joined(df.filter(is_hot), F.broadcast(hot) if small else hot)
         .unionByName(joined(df.filter(~is_hot & col(key).isNotNull()), renamed.filter(F.col("_weight") <= limit)))
         .unionByName(missing)
     )

@@ -126,12 +126,24 @@ def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> fl
 
 
 def clustering_metrics(df: DataFrame, features: Sequence[str], label: str, key: str,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row: exact silhouette, clusters without noise, noise rows."""
+                       block_rows: int = BLOCK_ROWS, silhouette: str = "exact") -> DataFrame:
+    """One row: clusters without noise, noise rows, and ``silhouette_score`` or ``silhouette_squared``.
+
+    ``silhouette`` chooses the measure: ``exact`` costs the square of the rows,
+    ``squared`` (squared Euclidean distance) one pass. Both are NULL unless there
+    are 2 to n-1 clusters.
+    """
+    if silhouette not in ("exact", "squared"):
+        raise ValueError(f"unknown silhouette: {silhouette}")
     counts = df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).agg(
         F.count_if(F.col("label") != -1).alias("n_clusters"),
         F.coalesce(F.sum(F.when(F.col("label") == -1, F.col("n"))), F.lit(0)).alias("n_noise_points"),
     )
-    score = silhouette_exact(df, features, label, key, block_rows)
+    if silhouette == "exact":
+        score = silhouette_exact(df, features, label, key, block_rows)
+    else:
+        groups, clustered = df.filter(col(label) != -1).agg(F.count_distinct(col(label)), F.count(F.lit(1))).first()
+        value = silhouette_squared(df, features, label) if 2 <= groups <= clustered - 1 else None
+        score = df.sparkSession.createDataFrame([(value,)], "silhouette_squared double")
     union = score.unionByName(counts, allowMissingColumns=True)
     return union.agg(*[F.max(c).alias(c) for c in union.columns])

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.ranking import dense_codes, lookup
 from veritab.ml import knn
 from veritab.ml.dbscan import dbscan
 from veritab.ml.metrics import classification_metrics, clustering_metrics
@@ -27,7 +28,6 @@ from veritab.ml.vectors import feature_array, feature_vector, matrix
 from veritab.schema import col, numeric_only, require_columns
 from veritab.session import checkpoint
 
-MAX_CLASSES = 1000
 MAX_DEPTH = 30
 SUPERVISED = ("logistic_regression", "random_forest", "knn", "svm")
 UNSUPERVISED = ("kmeans", "k-means", "dbscan")
@@ -43,12 +43,19 @@ class TrainingResult:
     metrics: DataFrame
     predictions: DataFrame
     target_column: str | None = None
-    classes: list[Any] | None = None
+    class_table: DataFrame | None = None
     model: Any = None
     importances: list[float] | None = None
     centers: list[list[float]] | None = None
     extra: dict[str, Any] = field(default_factory=dict)
 
+    @property
+    def classes(self) -> list[Any] | None:
+        """The classes in ascending order, brought to the driver when asked for."""
+        if self.class_table is None:
+            return None
+        return [row[0] for row in self.class_table.orderBy("code").select("value").collect()]
+
 
 def default_features(df: DataFrame, target: str | None, key: str) -> list[str]:
     """Supervised: every column but target and key. Unsupervised: every numeric column but the key."""
@@ -57,16 +64,20 @@ def default_features(df: DataFrame, target: str | None, key: str) -> list[str]:
     return [c for c in numeric_only(df) if c != key]
 
 
-def class_labels(df: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> list[Any]:
-    rows = (
-        df.filter(col(target).isNotNull()).select(col(target)).distinct().orderBy(col(target))
-        .limit(max_classes + 1).collect()
-    )
-    if len(rows) > max_classes:
-        raise ValueError(f"{target} has more than {max_classes} classes")
-    if len(rows) < 2:
-        raise ValueError(f"{target} needs at least two classes")
-    return [row[0] for row in rows]
+def class_codes(df: DataFrame, target: str) -> DataFrame:
+    """``value, held, code``: the classes numbered from 0 in ascending order, with the rows of each."""
+    counted = df.filter(col(target).isNotNull()).groupBy(col(target).alias("value")).agg(
+        F.count(F.lit(1)).alias("held"))
+    return checkpoint(dense_codes(counted, "value"))
+
+
+def forest_depth(max_depth: int | None) -> int:
+    """None asks for unlimited trees and gets the deepest MLlib can grow; a larger number is an error."""
+    if max_depth is None:
+        return MAX_DEPTH
+    if not 0 < int(max_depth) <= MAX_DEPTH:
+        raise ValueError(f"max_depth must lie between 1 and {MAX_DEPTH}")
+    return int(max_depth)
 
 
 def train_supervised(
@@ -85,13 +96,19 @@ def train_supervised(
         raise ValueError(f"Target column '{target}' not found in dataset")
     require_columns(df, [key])
     features = list(features or default_features(df, target, key))
-    classes = class_labels(df, target)
-    codes = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target)) - 1
+    depth = forest_depth(parameters.get("max_depth")) if algorithm == "random_forest" else None
+    classes = class_codes(df, target)
+    groups = classes.count()
+    if groups < 2:
+        raise ValueError(f"{target} needs at least two classes")
     seed = int(parameters.get("random_state", 42))
     known = df.filter(col(target).isNotNull())
     # Every trainer passes over the rows many times, so the split is made once.
-    coded = checkpoint(stratified_split(known, target, key, float(parameters.get("test_size", 0.2)), seed).select(
-        col(key).alias("key"), codes.cast("double").alias("label"), feature_array(df, features).alias("x"), "is_test"))
+    split = stratified_split(known, target, key, float(parameters.get("test_size", 0.2)), seed)
+    codes = classes.select(F.col("value").alias("_class"), F.col("code").alias("_code"), "held")
+    coded = checkpoint(lookup(split, target, codes, "_class", "held").select(
+        col(key).alias("key"), F.col("_code").cast("double").alias("label"), feature_array(df, features).alias("x"),
+        "is_test"))
     train, test = coded.filter(~F.col("is_test")), coded.filter(F.col("is_test"))
 
     model, importances = None, None
@@ -106,7 +123,7 @@ def train_supervised(
         with_vector = train.withColumn("features", array_to_vector("x"))
         unseen = test.withColumn("features", array_to_vector("x"))
         if algorithm == "svm":
-            model = fit_svm(train, parameters, len(classes), seed)
+            model = fit_svm(train, parameters, groups, seed)
             scored = model.predict(test)
         else:
             estimator = (
@@ -116,23 +133,31 @@ def train_supervised(
                 if algorithm == "logistic_regression" else
                 RandomForestClassifier(
                     numTrees=int(parameters.get("n_estimators", 100)),
-                    maxDepth=min(int(parameters.get("max_depth") or MAX_DEPTH), MAX_DEPTH), seed=seed)
+                    maxDepth=depth, seed=seed)
             )
+            if algorithm == "random_forest":
+                # Without this mark the forest refuses more than 100 classes.
+                nominal = {"ml_attr": {"type": "nominal", "num_vals": groups}}
+                with_vector = with_vector.withMetadata("label", nominal)
             model = estimator.fit(with_vector)
             if algorithm == "random_forest":
                 importances = [float(v) for v in model.featureImportances.toArray()]
             scored = model.transform(unseen).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    score: list[Column] = [F.col("score")] if len(classes) == 2 else []
-    original = F.array(*[F.lit(c) for c in classes])
-
-    def named(code: str) -> Column:
-        return F.get(original, F.col(code).cast("int")).alias(code)
-
-    predictions = scored.select("key", named("label"), named("prediction"), *score)
+    score: list[Column] = [F.col("score")] if groups == 2 else []
+    # Metrics and charts read the predictions many times, so they are made once.
+    scored = checkpoint(scored.select(
+        "key", F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("prediction"),
+        *score))
     metrics = classification_metrics(
-        predictions, "label", "prediction", "score" if score else None, classes[1] if score else None)
-    return TrainingResult(
-        "supervised", algorithm, features, metrics, predictions, target, classes, model, importances)
+        scored, "label", "prediction", "score" if score else None, 1 if score else None)
+    names = classes.select(F.col("code").alias("_code"), F.col("value").alias("_value"), "held")
+    predictions = scored
+    for code in ("label", "prediction"):
+        predictions = lookup(predictions, code, names, "_code", "held").drop(code).withColumnRenamed("_value", code)
+    predictions = checkpoint(predictions.select("key", "label", "prediction", *score))
+    extra = {} if depth is None else {"max_depth": depth}
+    return TrainingResult("supervised", algorithm, features, metrics, predictions, target, classes, model,
+                          importances, extra=extra)
 
 
 # --- support vector machine -------------------------------------------------
@@ -246,7 +271,10 @@ def train_unsupervised(
     features: Sequence[str] | None = None,
     parameters: dict[str, Any] | None = None,
 ) -> TrainingResult:
-    """Cluster the rows and evaluate the clusters; ``predictions`` holds ``key, label``."""
+    """Cluster the rows and evaluate the clusters; ``predictions`` holds ``key, label``.
+
+    The parameter ``silhouette`` is ``exact`` (quadratic in the rows) or ``squared`` (linear).
+    """
     parameters = dict(parameters or {})
     if algorithm not in UNSUPERVISED:
         raise ValueError(f"Unsupported unsupervised algorithm: {algorithm}")
@@ -262,7 +290,9 @@ def train_unsupervised(
                            int(parameters.get("n_init", 10)))
         centers = [[float(v) for v in c] for c in model.clusterCenters()]
         labelled = model.transform(vectors).select("key", "x", F.col("prediction").cast("bigint").alias("label"))
-    metrics = clustering_metrics(labelled, ["x"], "label", "key")
+    labelled = checkpoint(labelled)
+    metrics = clustering_metrics(
+        labelled, ["x"], "label", "key", silhouette=parameters.get("silhouette", "exact"))
     return TrainingResult(
         "unsupervised", algorithm, features, metrics, labelled.select("key", "label"), model=model, centers=centers)
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from veritab.functions.ranking import BUCKET_ROWS, running_totals
 from veritab.schema import as_double, col, numeric_only, require_columns
 
-MAX_CLASSES = 1000
-
 
 def prediction_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """``(label, prediction, n)`` for the pairs that occur."""
@@ -22,22 +20,21 @@ def prediction_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str, max_classes: int = MAX_CLASSES) -> DataFrame:
-    """Counts on the full grid of labels seen on either side; pairs that never occur are 0."""
+def confusion_matrix(df: DataFrame, label: str, prediction: str, grid: bool = False) -> DataFrame:
+    """``(label, prediction, n)`` for the pairs that occur.
+
+    With ``grid`` pairs of labels seen on either side that never occur are added
+    with 0, so the result has the square of the number of labels in rows.
+    """
     counts = prediction_counts(df, label, prediction)
-    classes = [
-        row[0] for row in counts.select("label").union(counts.select("prediction")).distinct()
-        .orderBy("label").limit(max_classes + 1).collect()
-    ]
-    if len(classes) > max_classes:
-        raise ValueError(f"{label} has more than {max_classes} classes")
-    axis = F.array(*[F.lit(c) for c in classes])
-    grid = (
-        df.sparkSession.range(1).select(F.explode(axis).alias("label"))
-        .select("label", F.explode(axis).alias("prediction"))
-    )
-    return grid.join(counts, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
+    if not grid:
+        return counts
+    seen = counts.select(F.struct("label").alias("c")).union(counts.select(F.struct(F.col("prediction").alias("label"))))
+    axis = seen.distinct().agg(F.collect_list("c").alias("axis"))
+    pairs = axis.select(F.explode("axis").alias("l"), "axis").select(
+        F.col("l.label").alias("label"), F.explode("axis").alias("p")).select(
+        "label", F.col("p.label").alias("prediction"), F.lit(0).cast("bigint").alias("n"))
+    return counts.unionByName(pairs).groupBy("label", "prediction").agg(F.sum("n").alias("n"))
 
 
 def roc_points(

@@ -210,17 +210,17 @@ def scale(df: DataFrame, method: str = "standard", columns: Sequence[str] | None
 def label_mapping(
     df: DataFrame,
     column: str,
-    reference_null_codes: bool = False,
+    placeholder_code: bool = False,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``(value, code, n)``: categories in ascending order, numbered from 0.
 
-    With ``reference_null_codes`` the missing-value placeholder takes its own
+    With ``placeholder_code`` the missing-value placeholder takes its own
     place in the order whenever the column has NULLs.
     """
     require_columns(df, [column])
     counts = value_counts(df, [column]).select("value", "n")
-    if reference_null_codes:
+    if placeholder_code:
         placeholder = (
             df.agg(F.count_if(col(column).isNull()).alias("n")).filter(F.col("n") > 0)
             .select(F.lit(MISSING_CATEGORY).alias("value"), "n")
@@ -232,13 +232,13 @@ def label_mapping(
 def label_encode(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    reference_null_codes: bool = False,
+    placeholder_code: bool = False,
     bucket_rows: int = BUCKET_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> Step:
     """Replace text columns by their codes; NULLs stay NULL. Details hold the mapping DataFrames."""
     chosen = categorical(df, columns)
-    mappings = {c: label_mapping(df, c, reference_null_codes, bucket_rows) for c in chosen}
+    mappings = {c: label_mapping(df, c, placeholder_code, bucket_rows) for c in chosen}
     encoded, order = df, df.columns
     for c, mapping in mappings.items():
         table = mapping.select(F.col("value").alias("_value"), F.col("code").alias("_code"), "n")

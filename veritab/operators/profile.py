@@ -46,6 +46,9 @@ def column_statistics(
     distinct counts come from the value histogram.
     """
     columns = scalar_columns(df, columns)
+    if not columns:
+        nothing = df.sparkSession.createDataFrame([], "none string")
+        return column_statistics(nothing).filter(F.lit(False))
     types = column_types(df)
     numeric = numeric_only(df, columns)
     quartiles = quartile_arrays(df, numeric, buffer_rows)
@@ -140,6 +143,9 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """
     columns = df.columns if columns is None else list(columns)
     require_columns(df, columns)
+    if not columns:
+        nothing = df.sparkSession.createDataFrame([], "none string")
+        return infer_types(nothing).filter(F.lit(False))
     types = column_types(df)
     spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     measures = [F.count(F.lit(1)).alias("rows")]

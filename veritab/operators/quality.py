@@ -22,6 +22,9 @@ def missing_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     """Missing cells per column with their band: high above 50 %, moderate above 10 %."""
     columns = df.columns if columns is None else list(columns)
     require_columns(df, columns)
+    if not columns:
+        nothing = df.sparkSession.createDataFrame([], "none string")
+        return missing_by_column(nothing).filter(F.lit(False))
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],

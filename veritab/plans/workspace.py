@@ -17,10 +17,11 @@ from veritab.operators.recommendations import request_key
 from veritab.plans import reports
 from veritab.plans.cleaning import CleaningResult, run_operations
 from veritab.schema import numeric_only, scalar_columns
+from veritab.session import checkpoint
 from veritab.sources import datasets, readers, registry
 from veritab.sources.readers import DatasetError
 
-CHARTS = ("correlation_heatmap", "confusion_matrix", "roc_curve", "cluster_plot", "cluster_distribution",
+CHARTS = ("correlation_heatmap", "confusion_matrix", "roc_curve", "cluster_plot", "cluster_centers", "cluster_distribution",
           "feature_importance")
 
 
@@ -138,7 +139,8 @@ class Workspace:
     def _training_charts(self, df: DataFrame, result: TrainingResult) -> dict[str, DataFrame]:
         found: dict[str, DataFrame] = {}
         if result.model_type == "supervised":
-            found["confusion_matrix"] = charts.confusion_matrix(result.predictions, "label", "prediction")
+            found["confusion_matrix"] = charts.confusion_matrix(
+                result.predictions, "label", "prediction", grid=True)
             if "score" in result.predictions.columns:
                 found["roc_curve"] = charts.roc_points(result.predictions, "label", "score", result.classes[1])
             if result.importances and len(result.importances) == len(result.feature_columns):
@@ -150,6 +152,10 @@ class Workspace:
         if len(axes) == 2:
             joined = df.join(result.predictions.withColumnRenamed("key", self.key), self.key)
             found["cluster_plot"] = charts.cluster_scatter(joined, "label", *axes)
+            if result.centers:
+                x, y = (result.feature_columns.index(c) for c in axes)
+                found["cluster_centers"] = self.spark.createDataFrame(
+                    [(i, c[x], c[y]) for i, c in enumerate(result.centers)], "label int, x double, y double")
         return found
 
     def training_status(self, session_id: str, operation_id: str) -> DataFrame:
@@ -173,8 +179,8 @@ class Workspace:
         stored = self._stored_chart(session_id, chart_type)
         if stored is not None:
             return stored
-        if chart_type == "cluster_plot":
-            return auto_cluster(self.dataset(session_id), self.key, **options)[0]
+        if chart_type in ("cluster_plot", "cluster_centers"):
+            return auto_cluster(self.dataset(session_id), self.key, **options)[chart_type == "cluster_centers"]
         if chart_type == "feature_importance":
             return charts.variance_importance(self._values(self.dataset(session_id)))
         raise DatasetError(f"no stored {chart_type}; train a model first")
@@ -196,18 +202,29 @@ class Workspace:
     # --- recommendations --------------------------------------------------------
 
     def recommend(self, session_id: str) -> dict[str, DataFrame]:
-        """Recommendations from the cache when the same description was answered within a day, else from the rules."""
+        """Recommendations; ``models`` has ``cached``, true when the same description was answered within a day.
+
+        A cached answer is served as it was stored, a fresh one comes from the rules and is stored.
+        """
         found = reports.recommendation_report(self._values(self.dataset(session_id)), session_id)
-        keyed = request_key(found["models"]).select("dataset", "prompt_hash", "recommended_models")
+        models = found["models"]
+        answer = models.schema["recommended_models"].dataType
         now = F.lit(_now())
         try:
-            probed = registry.cache_probe(keyed, self._table("responses"), "prompt_hash", "stored", now)
-            fresh = registry.cache_misses(probed)
+            probed = registry.cache_probe(
+                request_key(models), self._table("responses"), "prompt_hash", "stored", now)
+            stored = F.from_json("cached.response", answer)
         except DatasetError:
-            fresh = keyed
-        fresh.select("prompt_hash", F.to_json("recommended_models").alias("response"), now.alias("stored"),
-                     (F.unix_timestamp(now) + registry.CACHE_LIFETIME_HOURS * 3600).alias("ttl")) \
+            probed, stored = request_key(models).withColumn("hit", F.lit(False)), F.lit(None).cast(answer)
+        # Written before the new answers are, which would look like hits otherwise.
+        served = checkpoint(probed.withColumn("cached", F.when(F.col("hit"), stored)).select(
+            *[F.coalesce("cached", c).alias(c) if c == "recommended_models" else F.col(c) for c in models.columns],
+            "prompt_hash", F.col("hit").alias("cached")))
+        served.filter(~F.col("cached")).select(
+            "prompt_hash", F.to_json("recommended_models").alias("response"), now.alias("stored"),
+            (F.unix_timestamp(now) + registry.CACHE_LIFETIME_HOURS * 3600).alias("ttl")) \
             .write.mode("append").parquet(self._path("responses"))
+        found["models"] = served.drop("prompt_hash")
         registry.decisions(found["models"], F.lit(session_id), now) \
             .write.mode("append").parquet(self._path("decisions"))
         self._log({"session_id": session_id, "timestamp": _now(), "operation_type": "ai_recommendation",
