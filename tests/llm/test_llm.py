@@ -147,6 +147,20 @@ def test_passages_found_and_cut(spark):
     assert passages.without_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copied, changed", [((100, 60), 20), ((60, 50, 50, 55), 14), ((90, 50), 22), ((200, 60), 45)])
+def test_passages_behind_a_longer_one(copied, changed):
+    a, xs = [], []
+    for n in copied:
+        xs += range(len(a), len(a) + n - passages.SEED + 1, passages.SEED)
+        a += [1] * n + [0] * changed
+    a = np.array(a, np.uint32) * np.arange(1, len(a) + 1, dtype=np.uint32)
+    b = np.where(a == 0, np.uint32(1 << 30), a)
+    found = passages.aligned_passages(a, b, xs, xs, 50, 80)
+    starts = [sum(copied[:i]) + i * changed for i in range(len(copied))]
+    assert [p[:2] for p in found] == [(s, s + n - 1) for s, n in zip(starts, copied)]
+    assert [p[4] for p in found] == [*copied]
+
+
 def test_passages_edges(edge):
     assert passages.repeated_passages(edge).count() == 0
     assert passages.without_passages(edge).count() == len(EDGE)
