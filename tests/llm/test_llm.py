@@ -161,6 +161,20 @@ def test_passages_behind_a_longer_one(copied, changed):
     assert [p[4] for p in found] == [*copied]
 
 
+def test_exact_passages_whose_seeds_were_first_elsewhere(spark):
+    rng = random.Random(8)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    p, q = draw(50), draw(70)
+    rows = [(1, draw(20) + p[:25] + draw(20)), (2, draw(9) + p[25:] + draw(20)), (3, draw(30) + p + draw(7)), (4, draw(11) + p + draw(5)),
+            # The first holder has a fragment at another place before the whole.
+            (5, q[30:50] + draw(20) + q), (6, draw(8) + q + draw(9)), (7, q[:40] + draw(20) + q[40:]), (8, draw(60))]
+    docs = spark.createDataFrame([(i, " ".join(t), None) for i, t in rows], SCHEMA)
+    found = {(r["doc_id"], r["source"]): r for r in passages.repeated_passages(docs).collect()}
+    assert {*found} == {(4, 3), (6, 5)}
+    assert (found[4, 3]["first_word"], found[4, 3]["last_word"], found[4, 3]["source_first_word"]) == (11, 60, 30)
+    assert (found[6, 5]["first_word"], found[6, 5]["last_word"], found[6, 5]["source_first_word"]) == (8, 77, 40)
+
+
 def test_passages_edges(edge):
     assert passages.repeated_passages(edge).count() == 0
     assert passages.without_passages(edge).count() == len(EDGE)
