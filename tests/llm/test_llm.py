@@ -88,6 +88,21 @@ def test_near_duplicates_of_hot_groups(spark):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (find(i) == i) for i, r in got.items())
 
 
+def test_near_pairs_in_a_family_below_the_threshold(spark):
+    # Members share 300 of 400 shingles, planted pairs about 314 of 386.
+    common = [f"c{i}" for i in range(301)]
+    rows = [(i, common + [f"u{i}.{j}" for j in range(50)]) for i in range(200)]
+    for i in range(200, 320, 2):
+        both = [f"p{i}.{j}" for j in range(14)]
+        rows += [(k, common + both + [f"u{k}.{j}" for j in range(36)]) for k in (i, i + 1)]
+    sets = {i: {*zip(t, t[1:])} for i, t in rows}
+    alike = {(i, j) for i, j in itertools.combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert alike == {(i, i + 1) for i in range(200, 320, 2)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).filter("NOT kept").collect()
+    assert {(r["component_id"], r["doc_id"]) for r in got} == alike
+
+
 def test_near_duplicates_edges(spark, edge):
     rows = [tuple(r) for r in near_dedup.near_duplicates(edge).collect()]
     assert len(rows) == len(EDGE)

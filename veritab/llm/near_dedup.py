@@ -286,7 +286,8 @@ class _Rounds:
             .filter(F.octet_length("elements") == F.col("n") * 8).dropDuplicates(["rep"]).drop("n"))
         offers = members.select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))
         links = self.scratch.write(self._linked(self._picked(offers)))
-        open_bands = members.filter("size > 2").select("band", "rep")
+        # Also bands of two members: a pair is compared at the first band it shares.
+        open_bands = members.select("band", "rep")
         for last in (False, True):
             roots = components(self.scratch, links)
             placed = self.scratch.write(open_bands.join(roots, F.col("rep") == F.col("node"), "left").select(
