@@ -269,6 +269,17 @@ def test_urls(spark):
     assert host_reputation.filtered_urls(pages, outcomes.limit(0)).count() == len(urls)
 
 
+def test_hosts_without_outcomes(spark):
+    rows = [(i, f"http://a.spam.com/{i}") for i in range(1000)] + [(1000 + i, f"http://a.good.org/{i}") for i in range(1000)]
+    rows += [(3000, "http://b.spam.com/1"), (3001, "http://b.good.org/1"), (3002, "http://new.net/1"), (3003, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = pages.filter("page_id < 2000").select("page_id", (F.col("page_id") < 1000).cast("int").alias("bad"))
+    got = {r["page_id"]: r for r in host_reputation.filtered_urls(pages, outcomes).filter("page_id >= 3000").collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == {3000: "block", 3001: "allow", 3002: "allow", 3003: "allow"}
+    assert [i for i, r in got.items() if r["bad_bound"] is None] == [3003]
+    assert got[3000]["bad_bound"] > 0.9 and got[3001]["bad_bound"] < 0.1
+
+
 def test_token_files(spark, data, edge, tmp_path):
     library = Tokenizer.from_file(token_files.tokenizer_path())
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").filter("doc_id > 10").unionByName(

@@ -80,29 +80,41 @@ def _log_odds(alpha: Column, beta: Column, z: float) -> Column:
     return 1.0 / (1.0 + F.exp(-low))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """``host, n, n_bad, bad_rate, bad_bound`` for every host of ``outcomes(host, bad)``; rows with a NULL are left out."""
+def host_reputation(outcomes: DataFrame, z: float = Z, hosts: DataFrame | None = None) -> DataFrame:
+    """``host, n, n_bad, bad_rate, bad_bound`` for every host of ``outcomes(host, bad)``; rows with a NULL are left out.
+
+    Hosts of ``hosts(host)`` without outcomes get what their domain, else their
+    suffix, else the overall rate says, with n = 0; empty names get nothing.
+    """
     scratch = Scratch(outcomes.sparkSession)
     known = outcomes.filter("host IS NOT NULL AND bad IS NOT NULL")
-    hosts = scratch.write(known.groupBy("host").agg(
+    labelled = scratch.write(known.groupBy("host").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("k"))
         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
-    domains = scratch.write(hosts.groupBy("domain").agg(
+    domains = scratch.write(labelled.groupBy("domain").agg(
         F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.min("suffix").alias("suffix")))
     suffixes = scratch.write(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk")))
     total, bad = suffixes.agg(F.sum("sn"), F.sum("sk")).first()
     total, bad = total or 0.0, bad or 0.0
     overall = (bad + 0.5) / (total + 1.0)
     of_suffix = domains.join(suffixes, "suffix")
-    of_domain = hosts.join(domains.drop("suffix"), "domain")
+    of_domain = labelled.join(domains.drop("suffix"), "domain")
     w_suffix = _weight(suffixes.withColumn("an", F.lit(total)).withColumn("ak", F.lit(bad)), "sn", "sk", "an", "ak")
     w_domain = _weight(of_suffix, "dn", "dk", "sn", "sk")
     w_host = _weight(of_domain, "n", "k", "dn", "dk")
     suffix_rate = (F.col("sk") + w_suffix * overall) / (F.col("sn") + w_suffix)
-    priors = of_suffix.select("domain", ((F.col("dk") + w_domain * suffix_rate) / (F.col("dn") + w_domain)).alias("prior"))
-    alpha = F.col("k") + w_host * F.col("prior")
-    beta = F.col("n") - F.col("k") + w_host * (1 - F.col("prior"))
-    return hosts.join(priors, "domain").select(
+    everyone = labelled
+    if hosts is not None:
+        others = hosts.select("host").filter("host != ''").distinct().join(labelled.select("host"), "host", "left_anti")
+        everyone = labelled.unionByName(others.select(
+            "host", F.lit(0.0).alias("n"), F.lit(0.0).alias("k"), domain_of(F.col("host")).alias("domain"),
+            suffix_of(F.col("host")).alias("suffix")))
+    placed = everyone.join(domains.drop("suffix"), "domain", "left").join(suffixes, "suffix", "left").fillna(
+        0.0, ["dn", "dk", "sn", "sk"])
+    prior = (F.col("dk") + w_domain * suffix_rate) / (F.col("dn") + w_domain)
+    alpha = F.col("k") + w_host * prior
+    beta = F.col("n") - F.col("k") + w_host * (1 - prior)
+    return placed.select(
         "host", "n", F.col("k").alias("n_bad"), (alpha / (alpha + beta)).alias("bad_rate"),
         _log_odds(alpha, beta, z).alias("bad_bound"))
 
@@ -114,15 +126,16 @@ def filtered_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[s
     ``outcomes(page_id, bad)`` holds labelled outcomes, 1 for bad; of several for
     one page the largest counts. ``verdict`` is the longest fitting rule's, else
     ``block`` where the host's lower bound of the bad rate is above ``max_bad``,
-    else ``allow``. Hosts without outcomes are allowed (bound NULL). A NULL url or
-    one without ``://`` has an empty host and path and fits no rule. Repeated rows
+    else ``allow``. Hosts without outcomes are judged by their domain, suffix or the
+    overall rate. A NULL url or one without ``://`` has an empty host and path, fits
+    no rule and is judged only where such pages have outcomes (else bound NULL). Repeated rows
     are judged each; other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession)
     located = pages.select(pages["page_id"].alias("page_id"), pages["url"].cast("string").alias("url")).select(
         "page_id", host_of("url").alias("host"), path_of("url").alias("path"))
     judged = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    reputation = scratch.write(host_reputation(located.join(judged, "page_id").select("host", "bad"), z))
+    reputation = scratch.write(host_reputation(located.join(judged, "page_id").select("host", "bad"), z, located))
     rule, verdict = rule_for("host", "path", rules)
     bound = reputation.select("host", "bad_bound")
     return located.join(sized(bound, bound.count()), "host", "left").select(
