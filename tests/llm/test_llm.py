@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -335,6 +336,14 @@ def test_licenses(spark, edge):
     assert got[50, "MIT"]["n_missing"] == 1 and got[52, "Apache-2.0"]["n_missing"] == 0
 
 
+@pytest.mark.parametrize("width, prefix", [(72, ""), (76, "# "), (80, " * ")])
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause"])
+def test_wrapped_licenses(name, width, prefix):
+    lines = ["import x", ""] + textwrap.wrap(licenses.TEMPLATES[name], width, initial_indent=prefix, subsequent_indent=prefix)
+    got = licenses.LicenseScanner(licenses.TEMPLATES).scan("\n".join([*lines, "", "more text"]))
+    assert [(g[0], g[1], g[2], g[5]) for g in got] == [(2, len(lines) - 1, name, 0)]
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     seen = docs
