@@ -344,6 +344,16 @@ def test_wrapped_licenses(name, width, prefix):
     assert [(g[0], g[1], g[2], g[5]) for g in got] == [(2, len(lines) - 1, name, 0)]
 
 
+def test_notices_in_long_lines():
+    rng = random.Random(1)
+    filler = lambda: " ".join(f"q{rng.randrange(10 ** 6)}" for _ in range(150))
+    text = f"{filler()} Licensed under CC BY 4.0. {filler()} All rights reserved. {filler()} ALL RIGHTS RESERVED. {filler()}"
+    text += f" Licensed under license {filler()} Licensed under CC BY-NC 4.0."
+    got = licenses.LicenseScanner(licenses.TEMPLATES).scan(text)
+    assert [g[2] for g in got] == ["CC-BY-4.0", "CC-BY-NC-4.0", "all-rights-reserved", "all-rights-reserved"]
+    assert all(g[5] == g[6] == 0 for g in got)
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     seen = docs
