@@ -52,10 +52,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: pa.Array, spaces: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As :func:`word_hashes`, with the first byte of each word and the byte after it, counted over all rows.
 
-    Words are runs of bytes other than space and 0x09 to 0x0D; A-Z count as a-z.
+    Words are runs of bytes that ``spaces``, a flag for each byte, does not mark (space
+    and 0x09 to 0x0D by default); A-Z count as a-z.
     Texts are worked on in pieces of about ``SEGMENT_BYTES`` cut between words, so
     a very long text needs no more than a few times its own size.
     """
@@ -63,7 +64,7 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if not len(raw):
         none = np.zeros(0, np.int64)
         return np.zeros(len(ends), np.int64), np.zeros(0, np.uint64), none, none
-    space = _SPACE[raw]
+    space = spaces[raw]
     starts_here = ~space
     starts_here[1:] &= space[:-1]
     firsts = ends[:-1][(ends[:-1] < ends[1:])]
