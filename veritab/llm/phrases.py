@@ -38,6 +38,8 @@ from veritab.llm.words import _LOWER, mix, small_batches, text_buffers, word_spa
 
 DICTIONARY_WORDS = 1 << 21
 BUDGET_SUFFIXES = 1 << 21
+COUNTED_BYTES = 4 << 20
+SUFFIX_BYTES = 2 << 20
 _UNKNOWN = np.uint64(1 << 63)
 
 # Where a piece ends, and what separates words inside one.
@@ -181,7 +183,7 @@ def _coded(batch: pa.RecordBatch, salt: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, size=COUNTED_BYTES):
         rows, codes, starts, stops, raw = _coded(batch, salt)
         if not len(codes):
             continue
@@ -203,11 +205,11 @@ def _suffixes(
     """The distinct truncated suffixes of each batch with their counts, one row for each group of prefixes."""
     by_number, order, complete = numbers.value
     in_order = by_number[order]
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, size=SUFFIX_BYTES):
         rows, codes, starts, _, raw = _coded(batch, salt)
         if len(codes) < 2:
             continue
-        pieces = np.cumsum(_ENDS[raw], dtype=np.int64)[starts]
+        pieces = np.searchsorted(np.flatnonzero(_ENDS[raw]), starts)
         follows = np.append((pieces[1:] == pieces[:-1]) & (rows[1:] == rows[:-1]), False)
         # Word numbers count from 1; 0 ends a suffix.
         sent = np.zeros(len(codes), np.uint64) if complete else codes | _UNKNOWN
