@@ -76,7 +76,8 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     ranges = max(1, math.ceil(total / RANGE_TOKENS))
     classes = _token_classes(scratch, chosen, shingle, ranges, most)
     members = scratch.write(chosen.mapInArrow(
-        partial(_signatures, shingle=shingle, percent=percent, ranges=ranges, classes=classes), "key long, rep long"))
+        partial(_signatures, shingle=shingle, percent=percent, classes=classes), "key long, rep long"))
+    classes.destroy()
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = scratch.write(members.join(shared, "key").distinct())
     sets = scratch.write(chosen.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -116,8 +117,32 @@ def _slots(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed % np.uint64(ranges), (hashed // np.uint64(ranges)).astype(np.uint32)
 
 
+class _Classes:
+    """Slots of frequent tokens, range by range in ascending order, and the bit length of their number of documents."""
+
+    def __init__(self, ranges: int, slots: np.ndarray, levels: np.ndarray, ends: np.ndarray, complete: bool):
+        self.ranges, self.slots, self.levels, self.ends, self.complete = ranges, slots, levels, ends, complete
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """The level of each token, 0 if its slot is not here."""
+        which, slots = _slots(tokens, self.ranges)
+        order = np.argsort((which << np.uint64(32)) | slots)
+        which, slots = which[order], slots[order]
+        found = np.zeros(len(tokens), np.uint8)
+        cuts = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which)) if len(which) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            low, high = self.ends[int(which[a])], self.ends[int(which[a]) + 1]
+            if low < high:
+                here = self.slots[low:high]
+                at = np.minimum(np.searchsorted(here, slots[a:b]), high - low - 1)
+                found[a:b] = np.where(here[at] == slots[a:b], self.levels[low:high][at], 0)
+        levels = np.empty_like(found)
+        levels[order] = found
+        return levels
+
+
 def _token_classes(scratch: Scratch, chosen: DataFrame, shingle: int, ranges: int, most: int) -> Broadcast:
-    """Sorted slots of frequent tokens, the bit length of their number of documents, and whether only single ones lack."""
+    """The levels of at most ``most`` slots that several documents hold, the most frequent ones."""
     packed = chosen.mapInArrow(partial(_packed_slots, shingle=shingle, ranges=ranges),
                                "`range` long, slots binary, counts binary")
     counted = scratch.write(packed.groupBy("range").applyInArrow(
@@ -129,14 +154,28 @@ def _token_classes(scratch: Scratch, chosen: DataFrame, shingle: int, ranges: in
         if kept + count > most:
             break
         kept, least = kept + count, level
-    keys, levels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-    for row in counted.filter(F.col("level") >= least).select("range", "level", "slots").toArrow().to_pylist():
-        slots = np.frombuffer(row["slots"], np.uint32).astype(np.uint64)
-        keys.append(np.uint64(row["range"] << 32) | slots)
-        levels.append(np.full(len(slots), row["level"], np.uint8))
-    keys, levels = np.concatenate(keys), np.concatenate(levels)
-    order = np.argsort(keys)
-    return scratch.spark.sparkContext.broadcast((keys[order], levels[order], least <= 2))
+    slots, levels, ends = np.empty(kept, np.uint32), np.empty(kept, np.uint8), np.zeros(ranges + 1, np.int64)
+    at = 0
+    known = counted.filter(F.col("level") >= least).groupBy("range").applyInArrow(
+        _merged_slots, "`range` long, slots binary, levels binary")
+    for row in known.orderBy("range").toLocalIterator():
+        here = np.frombuffer(row["slots"], np.uint32)
+        slots[at:at + len(here)], levels[at:at + len(here)] = here, np.frombuffer(row["levels"], np.uint8)
+        at += len(here)
+        ends[row["range"] + 1] = at
+    return scratch.spark.sparkContext.broadcast(
+        _Classes(ranges, slots, levels, np.maximum.accumulate(ends), least <= 2))
+
+
+def _merged_slots(group: pa.Table) -> pa.Table:
+    """All known slots of a range in ascending order."""
+    parts = [np.frombuffer(x, np.uint32) for x in group["slots"].to_pylist()]
+    slots = np.concatenate(parts)
+    levels = np.repeat(group["level"].to_numpy().astype(np.uint8), [len(x) for x in parts])
+    order = np.argsort(slots)
+    return pa.table({
+        "range": group["range"].slice(0, 1), "slots": pa.array([slots[order].tobytes()], pa.binary()),
+        "levels": pa.array([levels[order].tobytes()], pa.binary())})
 
 
 def _packed_slots(batches: Iterator[pa.RecordBatch], shingle: int, ranges: int) -> Iterator[pa.RecordBatch]:
@@ -178,20 +217,13 @@ def _frequent_slots(group: pa.Table) -> pa.Table:
 
 
 def _signatures(
-    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, ranges: int, classes: Broadcast,
+    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, classes: Broadcast,
 ) -> Iterator[pa.RecordBatch]:
-    keys, levels, complete = classes.value
+    known = classes.value
     for ids, sets in _chosen_sets(batches, shingle):
-        which, slots = _slots(np.concatenate(sets), ranges)
-        wanted = (which << np.uint64(32)) | slots
-        level = np.zeros(len(wanted), np.uint8)
-        if len(keys):
-            # Sorted lookups walk the table once instead of jumping through it.
-            order = np.argsort(wanted)
-            found = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
-            level[order] = np.where(keys[found] == wanted[order], levels[found], 0)
+        levels = known.of(np.concatenate(sets))
         ends = np.cumsum([len(s) for s in sets])
-        made = [combinations(s, level[end - len(s):end], percent, complete) for s, end in zip(sets, ends)]
+        made = [combinations(s, levels[end - len(s):end], percent, known.complete) for s, end in zip(sets, ends)]
         yield pa.record_batch({
             "key": pa.array(np.concatenate(made).view(np.int64)),
             "rep": pa.array(np.repeat(np.array(ids, np.int64), [len(m) for m in made]))})
