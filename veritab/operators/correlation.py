@@ -3,92 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.schema import as_double, numeric_only
-
-# Generated code covers an aggregation up to this many buffer fields.
-BUFFER_FIELDS = 96
-COVARIANCE_FIELDS = 4
-DEVIATION_FIELDS = 3
+from veritab.functions.moments import comoments
+from veritab.operators.values import name_of
+from veritab.schema import numeric_only
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, diagonal: bool = False) -> DataFrame:
     """``(i, j, column_1, column_2, correlation)`` for ``i < j`` (``i <= j`` with ``diagonal``).
 
     Undefined coefficients (a constant column, fewer than two shared rows) are
-    NULL. Columns without NULLs share their deviations; a pair with NULLs gets
-    its own over the rows where both are present. Pairs are put into scans that
-    stay narrow enough for generated code, and each reads only its own columns.
+    NULL. One scan serves all pairs.
     """
+    return _coefficients(df, columns, F.col("i") <= F.col("j") if diagonal else F.col("i") < F.col("j"))
+
+
+def _coefficients(df: DataFrame, columns: Sequence[str] | None, wanted: Column | None) -> DataFrame:
     columns = numeric_only(df, columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i if diagonal else i + 1, len(columns))]
-    if not pairs:
+    if not columns:
         return df.sparkSession.createDataFrame(
             [], "i int, j int, column_1 string, column_2 string, correlation double")
-    row = df.agg(*[F.count_if(as_double(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    complete = {i for i in range(len(columns)) if row[f"m{i}"] == 0}
-    shared = [p for p in pairs if complete.issuperset(p)]
-    own = [p for p in pairs if not complete.issuperset(p)]
-    return reduce(DataFrame.unionAll, [
-        _scan(df, columns, group, complete) for group in [*_grouped(shared, complete), *_grouped(own, complete)]])
-
-
-def _grouped(pairs: list[tuple[int, int]], complete: set[int]) -> list[list[tuple[int, int]]]:
-    """Consecutive pairs whose aggregation buffers fit one scan."""
-    groups: list[list[tuple[int, int]]] = []
-    used, seen = BUFFER_FIELDS + 1, set()
-    for pair in pairs:
-        if complete.issuperset(pair):
-            cost = COVARIANCE_FIELDS + DEVIATION_FIELDS * len(set(pair) - seen)
-        else:
-            cost = COVARIANCE_FIELDS + 2 * DEVIATION_FIELDS
-        if used + cost > BUFFER_FIELDS:
-            groups.append([])
-            used, seen = 0, set()
-            cost = COVARIANCE_FIELDS + 2 * DEVIATION_FIELDS
-        groups[-1].append(pair)
-        used += cost
-        seen |= set(pair)
-    return groups
-
-
-def _scan(df: DataFrame, columns: Sequence[str], group: list[tuple[int, int]], complete: set[int]) -> DataFrame:
-    measures = {}
-    for i, j in group:
-        x, y = as_double(columns[i]), as_double(columns[j])
-        measures[f"c_{i}_{j}"] = F.covar_pop(x, y)
-        if complete.issuperset((i, j)):
-            measures[f"d_{i}"], measures[f"d_{j}"] = F.stddev_pop(x), F.stddev_pop(y)
-        else:
-            measures[f"x_{i}_{j}"] = F.stddev_pop(F.when(y.isNotNull(), x))
-            measures[f"y_{i}_{j}"] = F.stddev_pop(F.when(x.isNotNull(), y))
-
-    def coefficient(i: int, j: int) -> Column:
-        names = (f"d_{i}", f"d_{j}") if complete.issuperset((i, j)) else (f"x_{i}_{j}", f"y_{i}_{j}")
-        return F.try_divide(F.col(f"c_{i}_{j}"), F.col(names[0]) * F.col(names[1]))
-
-    return df.agg(*[m.alias(name) for name, m in measures.items()]).select(F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            F.lit(columns[i]).alias("column_1"), F.lit(columns[j]).alias("column_2"),
-            coefficient(i, j).alias("correlation"),
-        ) for i, j in group
-    ])))
+    found = comoments(df, columns)
+    if wanted is not None:
+        found = found.filter(wanted)
+    value = F.try_divide("co", F.sqrt("dev_i") * F.sqrt("dev_j"))
+    return found.select("i", "j", name_of(F.col("i"), columns).alias("column_1"),
+                        name_of(F.col("j"), columns).alias("column_2"), value.alias("correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The full symmetric matrix in long form, diagonal included."""
-    half = correlation_pairs(df, columns, diagonal=True)
-    cells = F.array(
-        F.struct("i", "j", "column_1", "column_2", "correlation"),
-        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("column_2").alias("column_1"),
-                 F.col("column_1").alias("column_2"), "correlation"),
-    )
-    return half.select(F.inline(F.when(F.col("i") == F.col("j"), F.slice(cells, 1, 1)).otherwise(cells)))
+    return _coefficients(df, columns, None)
 
 
 def highly_correlated(pairs: DataFrame, threshold: float = 0.8) -> DataFrame:

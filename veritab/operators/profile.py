@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.numeric import percent
-from veritab.functions.quantiles import BUFFER_ROWS, count_values, exact_quantiles, quantile_array
+from veritab.functions.quantiles import BUFFER_ROWS, exact_quantiles
 from veritab.operators.values import distinct_counts
 from veritab.schema import as_double, col, column_types, numeric_only, require_columns, scalar_columns
 
@@ -21,17 +21,9 @@ def quartile_arrays(
     buffer_rows: int = BUFFER_ROWS,
     probabilities: Sequence[float] = QUARTILES,
 ) -> dict[str, Column]:
-    """An array of quantiles per column, usable inside ``df.agg``.
-
-    Columns whose values fit the buffer stay lazy aggregates; for the others the
-    distributed search has already run and its results come back as literals.
-    """
-    counts = count_values(df, columns) if columns else {}
-    large = exact_quantiles(
-        df, [c for c in columns if counts[c] > buffer_rows], probabilities, buffer_rows, counts)
-    return {
-        c: F.array(*[F.lit(v) for v in large[c]]) if c in large else quantile_array(c, probabilities) for c in columns
-    }
+    """An array of quantiles per column, usable inside ``df.agg``; the selection has run by then."""
+    found = exact_quantiles(df, columns, probabilities, buffer_rows)
+    return {c: F.array(*[F.lit(v).cast("double") for v in found[c]]) for c in columns}
 
 
 def column_statistics(
@@ -42,8 +34,8 @@ def column_statistics(
 ) -> DataFrame:
     """One row per column: type, counts, and the statistics that fit the type.
 
-    All moments, quantiles and counts come from one aggregation over the table;
-    distinct counts come from the value histogram.
+    All moments and counts come from one aggregation over the table, quantiles
+    from a radix selection over all columns, distinct counts from the value histogram.
     """
     columns = scalar_columns(df, columns)
     if not columns:
