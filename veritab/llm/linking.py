@@ -1,8 +1,10 @@
 """Connect sets that share keys, exactly, without listing all pairs of a group.
 
 Groups of alike sets hold as many pairs as the square of their size, but what
-connects them is one link less than their number. First every set is compared
-with the smallest and the largest id of its keys. Then only keys count whose
+connects them is one link less than their number. Keys whose members all share
+one larger key, their home, are left out, and two sets of one home are compared
+there alone. First every set is compared with the smallest and the largest id of
+its keys, those it shares most keys with. Then only keys count whose
 members still lie in several components, and only members outside a key's
 largest component ask. A task compares two blocks of members by their parity
 bits: each set sets or clears bits of a bitmap by its elements, and two bitmaps
@@ -29,7 +31,7 @@ from veritab.llm.base import Scratch
 from veritab.llm.near_dedup import components
 from veritab.llm.words import grouped, mix
 
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 2048
 
 
 def parity_bits(elements: np.ndarray) -> bytes:
@@ -60,7 +62,7 @@ def links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
     order, as bytes) and is read several times. Two reps are connected by the result
     if and only if they are by all alike pairs that have a key in common.
     """
-    members = scratch.write(_distinct_groups(members))
+    members = scratch.write(_needed_groups(members))
     ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     offers = members.join(ends, "key").select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))
     counted = offers.filter("x != y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
@@ -78,13 +80,19 @@ def links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
         forests *= 4
 
 
-def _distinct_groups(members: DataFrame) -> DataFrame:
-    """Without keys of a single member, and with one key of those that have the same members."""
-    groups = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("one"),
-        F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("two")).filter("size > 1")
-    kept = groups.groupBy("size", "one", "two").agg(F.min("key").alias("key")).select("key")
-    return members.join(kept, "key")
+def _needed_groups(members: DataFrame) -> DataFrame:
+    """``key, rep, home``, without keys that add no pair: of one member, or with all members in one larger key.
+
+    The home of a member is the largest of its keys. Of keys with the same members
+    only one is a home, so the others go as well.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = members.join(sizes, "key")
+    homes = shared.groupBy("rep").agg(F.max(F.struct("size", "key"))["key"].alias("home"))
+    placed = shared.select("key", "rep").join(homes, "rep")
+    needed = placed.groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).filter(
+        "low != high OR low = key").select("key")
+    return placed.join(needed, "key").select("key", "rep", "home")
 
 
 def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -131,7 +139,7 @@ def _offered(
 ) -> DataFrame:
     """Pairs of different components that may be links and have not been refused, forests of them for each two blocks."""
     placed = scratch.write(members.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("root")))
+        "key", "rep", "home", F.coalesce("root", "rep").alias("root")))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
     mixed = parts.groupBy("key").agg(
         F.max(F.struct("held", "root"))["root"].alias("big"), F.sum("held").alias("size"),
@@ -144,7 +152,7 @@ def _offered(
     askers = F.ceil(F.col("outside") / BLOCK_MEMBERS).cast("int")
     pools = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
     live = placed.join(mixed, "key").withColumn("stray", stray)
-    fields = ["key", "rep", "root", "stray", "asker", "pool", "asks"]
+    fields = ["key", "rep", "home", "root", "stray", "asker", "pool", "asks"]
     hashed = F.xxhash64("rep")
     pool = live.withColumn("pool", F.pmod(hashed, pools).cast("int")).withColumn(
         "asker", F.explode(F.sequence(F.lit(0), askers - 1))).withColumn("asks", F.lit(False)).select(*fields)
@@ -186,7 +194,8 @@ def _top(tree: dict[int, int], x: int) -> int:
 
 def _edges(group: pa.Table, percent: int) -> list[tuple[int, int, int, int, int]]:
     """Differing places, ids and components of all pairs of an asker and a member that may be links, closest first."""
-    asks, stray, rep, root, n = (group[c].to_numpy() for c in ("asks", "stray", "rep", "root", "n"))
+    asks, stray, rep, home, root, n = (group[c].to_numpy() for c in ("asks", "stray", "rep", "home", "root", "n"))
+    key = group["key"][0].as_py()
     refused = group["refused"].to_pylist()
     bits = group["bits"].to_pylist()
     sizes = np.array([len(b) for b in bits])
@@ -200,6 +209,8 @@ def _edges(group: pa.Table, percent: int) -> list[tuple[int, int, int, int, int]
         for rows, matrix in matrices:
             near = (root[rows] != root[i]) & (~stray[rows] | (rep[rows] > rep[i])) & (
                 100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))
+            if home[i] != key:
+                near &= home[rows] != home[i]
             if refused[i]:
                 near &= ~np.isin(rep[rows], refused[i])
             if not near.any():
