@@ -99,12 +99,13 @@ def retention(spark, folder):
 
 
 @query("log_values", (
-    "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 3, 6) AS price FROM lineitem"
+    "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 3, 6) AS price, l_quantity * 1e30 AS large FROM lineitem"
 ))
 def log_values(spark, folder):
-    df = LINEITEM.frame(spark, folder)
+    df = table(spark, folder, "lineitem")
     price = from_log_number(log_number(F.col("l_extendedprice") / 3))
-    return rounded(df.select("l_orderkey", "l_linenumber", price.alias("price")), ["price"])
+    large = from_log_number(log_number(F.col("l_quantity") * F.lit(1e30)))
+    return rounded(df.select("l_orderkey", "l_linenumber", price.alias("price"), large.alias("large")), ["price"])
 
 
 @query("decisions", (

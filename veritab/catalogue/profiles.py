@@ -166,11 +166,56 @@ def _as_text(src: Source, spark, folder) -> DataFrame:
 TYPED = [CUSTOMER, EVENTS]
 
 
+# Dates as texts, with the format all values of a column share; the third mixes two.
+DATED = {
+    "us": ("MM/dd/yyyy", "%m/%d/%Y"), "dotted": ("d.M.yyyy H:mm", "%-d.%-m.%Y %-H:%M"), "named": ("MMM d, yyyy", "%b %-d, %Y"),
+    "short": ("dd-MM-yy", "%d-%m-%y"),
+}
+
+
+def _dated(spark, folder) -> DataFrame:
+    day = F.col("o_orderdate").cast("timestamp")
+    return ORDERS.frame(spark, folder).select(
+        *[F.date_format(day, spark_format).alias(c) for c, (spark_format, _) in DATED.items()],
+        F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "MM/dd/yyyy")).otherwise(
+            F.date_format(day, "dd/MM/yyyy")).alias("mixed"))
+
+
+def _dated_sql() -> str:
+    texts = ", ".join(f"strftime(o_orderdate, '{fmt}') AS {c}" for c, (_, fmt) in DATED.items())
+    mixed = "CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%d/%m/%Y') END"
+    fits = {c: f"try_strptime({c}, '{fmt}')" for c, (_, fmt) in DATED.items()}
+    fits["mixed"] = ""
+    both = " AND ".join(f"count(try_strptime(mixed, '{f}')) < count(mixed)" for f in ("%m/%d/%Y", "%d/%m/%Y"))
+    return union_sql([
+        f"SELECT '{c}' AS \"column\", CASE WHEN " + (f"NOT ({both})" if c == "mixed" else f"count({fit}) = count({c})")
+        + f" THEN 'datetime_string' ELSE 'categorical' END AS inferred_type FROM (SELECT {texts}, {mixed} AS mixed "
+        f"FROM {ORDERS.sql} s) t" for c, fit in fits.items()])
+
+
 @query("type_inference", 'SELECT "column", inferred_type FROM (' + union_sql([
-    _types_sql(s, text=True) for s in TYPED]) + ") t")
+    _types_sql(s, text=True) for s in TYPED]) + ") t UNION ALL " + _dated_sql())
 def type_inference(spark, folder):
     parts = [profile.infer_types(_as_text(s, spark, folder)) for s in TYPED]
-    return reduce(DataFrame.unionAll, parts).select("column", "inferred_type")
+    return reduce(DataFrame.unionAll, [*parts, profile.infer_types(_dated(spark, folder))]).select(
+        "column", "inferred_type")
+
+
+@query("type_report", union_sql([
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count, (SELECT string_agg(v, ',' ORDER BY {order}) FROM "
+    f"(SELECT DISTINCT CAST({c} AS {kind}) AS v, {c} AS x FROM {ORDERS.sql} s WHERE {c} IS NOT NULL ORDER BY {order} "
+    f"LIMIT 5) d) AS sample_values FROM {ORDERS.sql} t"
+    for c, order, kind in [("o_orderstatus", "v", "VARCHAR"), ("o_orderpriority", "v", "VARCHAR"),
+                           ("o_custkey", "x", "VARCHAR")]
+]) + (
+    " UNION ALL SELECT 'us', count(DISTINCT us), (SELECT string_agg(us, ',' ORDER BY us) FROM (SELECT DISTINCT "
+    "strftime(o_orderdate, '%m/%d/%Y') AS us FROM orders ORDER BY us LIMIT 5) d) FROM (SELECT "
+    "strftime(o_orderdate, '%m/%d/%Y') AS us FROM orders) t"))
+def type_report(spark, folder):
+    columns = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+    found = profile.type_report(ORDERS.frame(spark, folder), columns).unionAll(
+        profile.type_report(_dated(spark, folder), ["us"]))
+    return found.select("column", "distinct_count", listed("sample_values").alias("sample_values"))
 
 
 @query("type_histogram", (
@@ -214,7 +259,8 @@ def _imbalance_sql(src: Source, columns: list[str]) -> str:
         "round_even(min(n) / CAST(max(n) AS DOUBLE), 3) AS imbalance_ratio, "
         "-sum(n / CAST(total AS DOUBLE) * log2(n / CAST(total AS DOUBLE) + 1e-10)) AS entropy, "
         "max(n) AS most_frequent_count, min(n) AS least_frequent_count, "
-        "arg_min(value, rank) AS most_frequent_value, arg_max(value, rank) AS least_frequent_value "
+        "arg_min(value, rank) AS most_frequent_value, arg_max(value, rank) AS least_frequent_value, "
+        "string_agg(value || ':' || n, ',' ORDER BY rank) FILTER (WHERE rank <= 10) AS value_distribution "
         f"FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total, "
         f"row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS rank FROM {src.sql} t "
         f"WHERE {c} IS NOT NULL GROUP BY {c}) v HAVING count(*) > 1"
@@ -222,19 +268,21 @@ def _imbalance_sql(src: Source, columns: list[str]) -> str:
     ])
 
 
-IMBALANCED = [(EVENTS, ["event_type"]), (ORDERS, ["o_orderstatus", "o_orderpriority"]), (CUSTOMER, ["c_mktsegment"])]
+IMBALANCED = [(EVENTS, ["event_type", "props"]), (ORDERS, ["o_orderstatus", "o_orderpriority"]), (CUSTOMER, ["c_mktsegment"])]
 
 
 @query("imbalance", (
     'SELECT "column", unique_values, imbalance_ratio, round(entropy, 6) AS entropy, '
     "round(entropy / log2(unique_values), 6) AS normalized_entropy, most_frequent_value, most_frequent_count, "
     "least_frequent_value, least_frequent_count, CASE WHEN imbalance_ratio < 0.1 THEN 'severe' "
-    "WHEN imbalance_ratio < 0.3 THEN 'moderate' ELSE 'balanced' END AS band FROM ("
+    "WHEN imbalance_ratio < 0.3 THEN 'moderate' ELSE 'balanced' END AS band, value_distribution FROM ("
     + union_sql([_imbalance_sql(s, cs) for s, cs in IMBALANCED]) + ") i"
 ))
 def imbalance(spark, folder):
     parts = [quality.imbalance_by_column(s.frame(spark, folder), cs) for s, cs in IMBALANCED]
-    return rounded(reduce(DataFrame.unionAll, parts).drop("ratio_unrounded"), ["entropy", "normalized_entropy"])
+    shown = listed(F.transform("value_distribution", lambda v: F.concat(v["value"], F.lit(":"), v["n"].cast("string"))))
+    return rounded(reduce(DataFrame.unionAll, parts).drop("ratio_unrounded"), [
+        "entropy", "normalized_entropy"]).withColumn("value_distribution", shown)
 
 
 def _outlier_sql(src: Source, columns: list[str]) -> str:

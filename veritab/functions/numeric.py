@@ -12,9 +12,16 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def log_number(value: Column) -> Column:
-    """Decimal with 10 places for log records; NaN becomes NULL."""
+    """Decimal text with 10 places for log records, of any size; NaN becomes NULL.
+
+    A decimal column ends at 28 digits before the point, which a model's metric may
+    pass, so the number is carried as the text of its value rounded to 10 places.
+    Numbers of 1e15 and more have no such places and keep all their digits.
+    """
     number = value.cast("double")
-    return F.round(F.when(~F.isnan(number), number), 10).cast("decimal(38,10)")
+    finite = F.when(~F.isnan(number), number)
+    small = F.round(finite, 10).try_cast("decimal(38,10)").cast("string")
+    return F.when(F.abs(finite) < 1e15, small).otherwise(finite.cast("string"))
 
 
 def from_log_number(value: Column) -> Column:

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from veritab.functions.dates import ISO, common_format, with_date_parts
 from veritab.functions.numeric import percent
 from veritab.functions.quantiles import BUFFER_ROWS, exact_quantiles
-from veritab.operators.values import distinct_counts
+from veritab.operators.values import distinct_counts, value_counts
 from veritab.schema import as_double, col, column_types, numeric_only, require_columns, scalar_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -129,9 +131,11 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Deep typing: text columns that hold only numbers or only timestamps are named as such.
+    """Deep typing: text columns that hold only numbers, or only dates of one format, are named as such.
 
-    The same scan counts the rows and missing cells of every column.
+    ``date_format`` is the pattern all values share (month before day where both
+    fit), or ISO for texts that Spark casts to a timestamp. The same scan counts
+    the rows and missing cells of every column.
     """
     columns = df.columns if columns is None else list(columns)
     require_columns(df, columns)
@@ -140,33 +144,60 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         return infer_types(nothing).filter(F.lit(False))
     types = column_types(df)
     spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    measures = [F.count(F.lit(1)).alias("rows")]
+    texts = {f"c{i}": f"d{i}" for i, c in enumerate(columns) if types[c] == "categorical"}
+    cells = with_date_parts(df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)]), texts)
+    measures = [F.count(F.lit(1)).alias("rows"), *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]]
     for i, c in enumerate(columns):
-        measures.append(F.count(col(c)).alias(f"n{i}"))
         if types[c] == "categorical":
             measures += [
-                F.count_if(col(c).rlike(NUMBER_PATTERN)).alias(f"num{i}"),
-                F.count(col(c).try_cast("timestamp")).alias(f"ts{i}"),
+                F.count_if(F.col(f"c{i}").rlike(NUMBER_PATTERN)).alias(f"num{i}"),
+                F.count(F.col(f"c{i}").try_cast("timestamp")).alias(f"ts{i}"),
+                F.count(f"d{i}_shape").alias(f"dates{i}"),
+                F.min(f"d{i}_shape").alias(f"low{i}"), F.max(f"d{i}_shape").alias(f"high{i}"),
+                F.bit_and(f"d{i}_orders").alias(f"orders{i}"),
             ]
-    row = df.agg(*measures)
+    row = cells.agg(*measures)
 
-    def inferred(i: int, c: str) -> Column:
-        if types[c] != "categorical":
-            return F.lit(types[c])
-        present = F.col(f"n{i}")
-        return (
-            F.when((present > 0) & (F.col(f"num{i}") == present), "numeric_string")
-            .when((present > 0) & (F.col(f"ts{i}") == present), "datetime_string")
-            .otherwise("categorical")
-        )
+    nothing, no_count, no_text = F.lit(None).cast("int"), F.lit(None).cast("bigint"), F.lit(None).cast("string")
 
-    return row.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.lit(spark_types[c]).alias("current_type"), inferred(i, c).alias("inferred_type"),
-            F.col("rows").alias("total_count"), (F.col("rows") - F.col(f"n{i}")).alias("missing_count"),
-        ) for i, c in enumerate(columns)
-    ])))
+    def measured(i: int, c: str) -> Column:
+        text = types[c] == "categorical"
+        return F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(spark_types[c]).alias("current_type"),
+            F.lit(types[c]).alias("type"), F.col("rows").alias("total_count"), F.col(f"n{i}").alias("present"),
+            *[(F.col(f"{m}{i}") if text else missing).alias(m) for m, missing in (
+                ("num", no_count), ("ts", no_count), ("dates", no_count), ("low", no_text), ("high", no_text),
+                ("orders", nothing))])
+
+    present = F.col("present")
+    date_format = F.when(present > 0, F.when(F.col("ts") == present, ISO).when(
+        F.col("dates") == present, common_format(F.col("low"), F.col("high"), F.col("orders"))))
+    inferred = F.when((present > 0) & (F.col("num") == present), "numeric_string").when(
+        F.col("date_format").isNotNull(), "datetime_string").otherwise(F.col("type"))
+    long = row.select(F.inline(F.array(*[measured(i, c) for i, c in enumerate(columns)])))
+    return long.withColumn("date_format", date_format).withColumn("inferred_type", inferred).select(
+        "position", "column", "current_type", "inferred_type",
+        F.when(F.col("inferred_type") == "datetime_string", F.col("date_format")).alias("date_format"),
+        "total_count", (F.col("total_count") - present).alias("missing_count"))
+
+
+def type_report(df: DataFrame, columns: Sequence[str] | None = None, samples: int = 5) -> DataFrame:
+    """Deep typing with each column's distinct count and its ``samples`` smallest values as text.
+
+    Types come from one scan, the rest from one value histogram; numbers sort as
+    numbers. Columns without flat values have neither.
+    """
+    types = infer_types(df, columns)
+    counts = value_counts(df, columns)
+    numeric = F.col("column").isin(numeric_only(df, columns))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(
+        F.when(numeric, F.col("value").try_cast("double")).asc_nulls_last(), "value"))
+    first = counts.withColumn("rank", rank).filter(F.col("rank") <= samples).groupBy("column").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values"))
+    held = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return types.join(held, "column", "left").join(first, "column", "left").withColumns({
+        "distinct_count": F.coalesce("distinct_count", F.lit(0).cast("bigint")),
+        "sample_values": F.coalesce("sample_values", F.array().cast("array<string>"))})
 
 
 def potential_conversion() -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,23 +106,45 @@ def imbalance_ratios(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         "column", "ratio_unrounded", _imbalance_band(F.bround("ratio_unrounded", 3)).alias("band"))
 
 
-def imbalance_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Imbalance of every non-numeric column that has at least two values."""
+def imbalance_by_column(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
+    """Imbalance of every non-numeric column that has at least two values.
+
+    One pass over the value histogram serves everything: each task reduces its
+    part of a column to how many values occur how often (few numbers, as they add
+    up to the rows), its rarest value and its ``top`` most frequent ones, and these
+    are merged. ``value_distribution`` lists the most frequent values with their
+    counts, ties by ascending value.
+    """
     counts = value_counts(df, _non_numeric(df, columns))
-    # One row per column of the table, whatever its size: bounded, so it may be broadcast.
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    order = F.struct((-F.col("n")).alias("n"), "value")
-    per_column = (
-        counts.join(F.broadcast(totals), "column").groupBy("column").agg(
-            F.count(F.lit(1)).alias("unique_values"),
-            F.min("n").alias("least_frequent_count"),
-            F.max("n").alias("most_frequent_count"),
-            F.min_by("value", order).alias("most_frequent_value"),
-            F.max_by("value", order).alias("least_frequent_value"),
-            (-F.sum(share * F.log2(share + F.lit(1e-10)))).alias("entropy"),
-        ).filter(F.col("unique_values") > 1)
-    )
+    schema = "column string, values array<bigint>, times array<bigint>, top array<struct<value: string, n: bigint>>, " \
+             "rare struct<value: string, n: bigint>"
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, ValueSummary] = {}
+        for batch in batches:
+            for name in pc.unique(batch.column("column")).to_pylist():
+                part = batch.filter(pc.equal(batch.column("column"), name))
+                held.setdefault(name, ValueSummary(top)).add(part.column("value"), part.column("n").to_numpy())
+        if held:
+            yield pa.RecordBatch.from_pylist([{"column": c, **s.state()} for c, s in held.items()], _SUMMARY)
+
+    def merged(group: pa.Table) -> pa.Table:
+        whole = ValueSummary(top)
+        for state in group.to_pylist():
+            whole.merge(state)
+        return pa.Table.from_pylist([{"column": group["column"][0].as_py(), **whole.state()}], _SUMMARY)
+
+    summary = counts.mapInArrow(reduced, schema).groupBy("column").applyInArrow(merged, schema)
+    total = F.aggregate(F.zip_with("values", "times", lambda v, t: v * t), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    terms = F.zip_with("values", "times", lambda v, t: t * (v / F.col("total")) * F.log2(v / F.col("total") + F.lit(1e-10)))
+    per_column = summary.withColumn("total", total).select(
+        "column",
+        F.aggregate("times", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("unique_values"),
+        (-F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)).alias("entropy"),
+        F.col("top")[0]["value"].alias("most_frequent_value"), F.col("top")[0]["n"].alias("most_frequent_count"),
+        F.col("rare.value").alias("least_frequent_value"), F.col("rare.n").alias("least_frequent_count"),
+        F.col("top").alias("value_distribution"),
+    ).filter(F.col("unique_values") > 1)
     ratio = F.col("least_frequent_count") / F.col("most_frequent_count")
     rounded = F.bround(ratio, 3)
     return per_column.select(
@@ -128,10 +154,54 @@ def imbalance_by_column(df: DataFrame, columns: Sequence[str] | None = None) ->
         F.col("entropy"),
         (F.col("entropy") / F.log2(F.col("unique_values"))).alias("normalized_entropy"),
         "most_frequent_value", "most_frequent_count", "least_frequent_value", "least_frequent_count",
-        _imbalance_band(rounded).alias("band"),
+        _imbalance_band(rounded).alias("band"), "value_distribution",
     )
 
 
+_VALUE = pa.struct([("value", pa.string()), ("n", pa.int64())])
+_SUMMARY = pa.schema([("column", pa.string()), ("values", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
+                      ("top", pa.list_(_VALUE)), ("rare", _VALUE)])
+
+
+class ValueSummary:
+    """How many values occur how often, the rarest value and the most frequent ones, of a part of a histogram."""
+
+    def __init__(self, top: int):
+        self.most, self.times, self.top, self.rare = top, Counter(), [], None
+
+    def add(self, values: pa.Array, counts: np.ndarray) -> None:
+        found, times = np.unique(counts, return_counts=True)
+        # The bounds are kept by count first, so only the values at the ends are looked at.
+        least = values.filter(pa.array(counts == found[0])).to_pylist()
+        bound = np.partition(counts, -self.most)[-self.most] if len(counts) > self.most else found[0]
+        above = pa.array(counts > bound)
+        ties = sorted(values.filter(pa.array(counts == bound)).to_pylist(), key=_order)[:self.most]
+        self._merge(dict(zip(found.tolist(), times.tolist())), [
+            *zip(values.filter(above).to_pylist(), counts[counts > bound].tolist()), *((v, int(bound)) for v in ties)],
+            (max(least, key=_order), int(found[0])))
+
+    def merge(self, state: dict) -> None:
+        self._merge(dict(zip(state["values"], state["times"])), [(x["value"], x["n"]) for x in state["top"]],
+                    (state["rare"]["value"], state["rare"]["n"]))
+
+    def _merge(self, times: dict[int, int], top: list[tuple[str, int]], rare: tuple[str, int]) -> None:
+        self.times.update(times)
+        self.top = sorted([*self.top, *top], key=lambda x: (-x[1], _order(x[0])))[:self.most]
+        if self.rare is None or rare[1] < self.rare[1] or (
+                rare[1] == self.rare[1] and _order(rare[0]) > _order(self.rare[0])):
+            self.rare = rare
+
+    def state(self) -> dict:
+        values = sorted(self.times)
+        return {"values": values, "times": [self.times[v] for v in values],
+                "top": [{"value": v, "n": n} for v, n in self.top], "rare": {"value": self.rare[0], "n": self.rare[1]}}
+
+
+def _order(value: str) -> bytes:
+    """Texts compare by their bytes, as they do in Spark."""
+    return value.encode()
+
+
 def outlier_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,

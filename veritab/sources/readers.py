@@ -40,7 +40,8 @@ def read_csv(
 
     Files are split between tasks. Quoted line breaks need ``multi_line``, which
     reads each file in one task; without it they show up as malformed rows,
-    which are an error and never dropped.
+    which are an error and never dropped. So are cells that do not fit the type
+    ``schema`` gives their column: the error counts them by column.
     """
     if not path.rstrip("/").split("?")[0].lower().endswith(".csv"):
         raise DatasetError(f"only CSV files are read: {path}")
@@ -57,20 +58,27 @@ def read_csv(
     )
     text = raw.select(
         *[F.when(~col(n).isin(list(na_tokens)), col(n)).alias(n) for n in names], F.col(corrupt))
-    types = _inferred(text, names, corrupt, infer and schema is None)
-    if schema is not None:
-        types = {f.name: f.dataType.simpleString() for f in schema.fields}
-        unknown = [n for n in types if n not in names]
-        if unknown:
-            raise DatasetError(f"columns not in the file: {unknown}")
-        names = [f.name for f in schema.fields]
+    given = None if schema is None else {f.name: f.dataType.simpleString() for f in schema.fields}
+    unknown = [n for n in given or {} if n not in names]
+    if unknown:
+        raise DatasetError(f"columns not in the file: {unknown}")
+    types = _inferred(text, names, corrupt, infer and schema is None, given or {})
+    if given is not None:
+        types, names = given, list(given)
     return nan_to_null(text.select(*[
         col(n) if types[n] == "string" else F.trim(col(n)).try_cast(types[n]).alias(n) for n in names
     ]))
 
 
-def _inferred(text: DataFrame, names: Sequence[str], corrupt: str, infer: bool) -> dict[str, str]:
+def _inferred(
+    text: DataFrame, names: Sequence[str], corrupt: str, infer: bool, given: dict[str, str],
+) -> dict[str, str]:
+    """Types that all values of a column fit; an error if a row does not fit the header or a cell its given type."""
     measures = [F.count(F.col(corrupt)).alias("malformed"), F.min(corrupt).alias("example")]
+    typed = [n for n, kind in given.items() if kind != "string"]
+    for i, n in enumerate(typed):
+        misfit = F.when(F.trim(col(n)).try_cast(given[n]).isNull(), col(n))
+        measures += [F.count(misfit).alias(f"misfits{i}"), F.min(misfit).alias(f"misfit{i}")]
     for i, n in enumerate(names if infer else []):
         value = col(n)
         measures += [
@@ -85,6 +93,10 @@ def _inferred(text: DataFrame, names: Sequence[str], corrupt: str, infer: bool)
         raise DatasetError(
             f"{row['malformed']} rows do not fit the header, for example {row['example']!r}; "
             "quoted line breaks need multi_line=True")
+    misfits = {n: (row[f"misfits{i}"], row[f"misfit{i}"]) for i, n in enumerate(typed) if row[f"misfits{i}"]}
+    if misfits:
+        raise DatasetError("cells that do not fit the given type: " + "; ".join(
+            f"{count} in {n} ({given[n]}), for example {example!r}" for n, (count, example) in misfits.items()))
     types = {}
     for i, n in enumerate(names):
         present = row[f"n{i}"] if infer else 0
