@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm import jaccard_join, linking
 from veritab.llm.base import Scratch
-from veritab.llm.near_dedup import components
+from veritab.llm.linking import components
 from veritab.llm.words import mix
 
 SCHEMA = "doc_id long, text string"

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.base import Scratch, query, table
-from veritab.llm.linking import links, parity_bits
-from veritab.llm.near_dedup import _digest, _document_sets, components
+from veritab.llm.linking import components, links, parity_bits
+from veritab.llm.near_dedup import _digest, _document_sets
 from veritab.llm.words import mix, small_batches
 
 FREQUENT_TOKENS = 1 << 23

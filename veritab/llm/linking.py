@@ -18,7 +18,7 @@ forests, so that a family just below the threshold cannot take many rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritab.llm.base import Scratch
-from veritab.llm.near_dedup import components
 from veritab.llm.words import grouped, mix
 
 BLOCK_MEMBERS = 2048
@@ -54,13 +53,17 @@ def _words64(bits: bytes) -> np.ndarray:
     return np.frombuffer(bits, np.uint64)
 
 
-def links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links(
+    scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int,
+    likely: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``a, b``: pairs with a Jaccard similarity of ``percent`` or more that connect all such pairs of one key.
 
     ``members`` holds distinct pairs of ``key`` and ``rep``; ``sets`` each rep's ``n``,
     ``bits`` (see :func:`parity_bits`) and ``elements`` (distinct 64-bit values in ascending
     order, as bytes) and is read several times. Two reps are connected by the result
-    if and only if they are by all alike pairs that have a key in common.
+    if and only if they are by all alike pairs that have a key in common. ``likely`` may
+    pick the first pairs to compare out of those offered; the others come later.
     """
     members = scratch.write(_needed_groups(members))
     ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
@@ -69,7 +72,8 @@ def links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))
     picked = counted.withColumn("rank", rank).filter("rank <= 2").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    judged = scratch.write(_judged(scratch.write(_possible(picked, sets, percent)), sets, percent))
+    possible = _possible(picked, sets, percent)
+    judged = scratch.write(_judged(scratch.write(likely(possible) if likely else possible), sets, percent))
     forests = 1
     while True:
         roots = components(scratch, judged.filter("linked").select("a", "b"))
@@ -80,6 +84,32 @@ def links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -
         forests *= 4
 
 
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """``(node, root)`` for every node of ``links(a, b)``: the smallest node it is connected to.
+
+    Each round, every node of a tree takes the smallest root among its neighbours
+    and then its root's root. Minima are combined before each shuffle.
+    """
+    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
+        "node", F.least("node", "low").alias("root")))
+    while True:
+        offers = both.join(state, F.col("a") == F.col("node")).groupBy("b").agg(F.min("root").alias("offer"))
+        hooked = scratch.write(state.join(offers, F.col("node") == F.col("b")).select(
+            "node", F.col("root").alias("before"), F.least("root", "offer").alias("root")))
+        # A root's own row may have moved on; the smallest offer to any member of a tree moves its root as well.
+        moves = hooked.groupBy(F.col("before").alias("tree")).agg(F.min("root").alias("to"))
+        jumped = scratch.write(hooked.join(moves, F.col("root") == F.col("tree"), "left").select(
+            "node", "before", F.least("root", F.coalesce("to", "root")).alias("root")))
+        changed = not jumped.filter(F.col("root") != F.col("before")).isEmpty()
+        scratch.drop(hooked, state)
+        state = scratch.write(jumped.select("node", "root")) if changed else jumped.select("node", "root")
+        if not changed:
+            scratch.drop(both)
+            return state
+        scratch.drop(jumped)
+
+
 def _needed_groups(members: DataFrame) -> DataFrame:
     """``key, rep, home``, without keys that add no pair: of one member, or with all members in one larger key.
 
@@ -95,7 +125,7 @@ def _needed_groups(members: DataFrame) -> DataFrame:
     return placed.join(needed, "key").select("key", "rep", "home")
 
 
-def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+def with_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
@@ -103,7 +133,7 @@ def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and parity bits leave open."""
-    return _sides(pairs, sets, "n", "bits").mapInArrow(partial(_open_pairs, percent=percent), "a long, b long")
+    return with_sides(pairs, sets, "n", "bits").mapInArrow(partial(_open_pairs, percent=percent), "a long, b long")
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -119,7 +149,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 def _judged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, linked``, decided on the full sets."""
-    return _sides(pairs, sets, "elements").mapInArrow(partial(_compare, percent=percent), "a long, b long, linked boolean")
+    return with_sides(pairs, sets, "elements").mapInArrow(partial(_compare, percent=percent), "a long, b long, linked boolean")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

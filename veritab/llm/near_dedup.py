@@ -10,14 +10,11 @@ equal registers, given both set sizes, estimates the similarity of a pair; what
 may reach the threshold is verified on the full sets.
 
 Groups of copies are never expanded into all their pairs. Equal sets are one
-class. A band value shared by many classes offers its members two of them as
-partners, and a class is verified against those it shares most bands with. Then
-only band values that still hold several components matter, and only members
-outside the largest one look for partners: first among a few of it, at last, by
-their sketches, among all members. All pairs of different components that share
-``SHARED`` bands and are likely enough are verified, so no link is given up: a pair
-at similarity 0.8 shares fewer bands with probability 8e-6 and looks too unlikely,
-at 3.3 deviations, with probability 5e-4.
+class, and classes that share a band value are linked by
+:mod:`veritab.llm.linking`: the pairs that share most bands and are likely are
+verified first, then all pairs of different components that their parity bits
+leave open, so no link between classes that share a band is lost. Classes at
+similarity 0.8 share none with probability 5e-7.
 """
 
 from __future__ import annotations
@@ -29,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veritab.llm.base import Scratch, query, table
-from veritab.llm.words import distinct, grouped, mix, shingle_hashes, small_batches, word_hashes
+from veritab.llm.linking import components, links, parity_bits, with_sides
+from veritab.llm.words import distinct, mix, shingle_hashes, small_batches, word_hashes
 
 BANDS = 48
 BAND_ROWS = 6
@@ -40,9 +37,6 @@ REGISTERS = 480  # the first BANDS * BAND_ROWS of them make bands
 BASE = 1.001
 RATE = 20.0
 LIMIT = 65_534
-SHARED = 2
-OFFERS = 8
-BLOCK_MEMBERS = 512
 SLACK = 0.06
 
 
@@ -132,7 +126,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = _band_keys(_matrix(batch.column("sketch")))
         yield pa.record_batch({
-            "band": pa.array(keys.ravel()),
+            "key": pa.array(keys.ravel()),
             "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)),
         })
 
@@ -146,90 +140,31 @@ def _band_keys(sketches: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of strays and members of one block of a band value, each pair at the first band it shares."""
-    for group in grouped(batches, ["band", "block"]):
-        asks = group["asks"].to_numpy()
-        if asks.all() or not asks.any():
-            continue
-        group = group.combine_chunks()
-        sketches = _matrix(group["sketch"].combine_chunks())
-        rep, root, n, stray = (group[c].to_numpy() for c in ("rep", "root", "n", "stray"))
-        here = int(np.flatnonzero(_band_keys(sketches[:1])[0] == group["band"][0].as_py())[0])
-        pool = np.flatnonzero(~asks)
-        left, right = [], []
-        for i in np.flatnonzero(asks).tolist():
-            open_pool = pool[(root[pool] != root[i]) & (~stray[pool] | (rep[pool] > rep[i]))]
-            equal = sketches[open_pool] == sketches[i]
-            open_pool, equal = (x[equal.mean(axis=1) >= least - SLACK] for x in (open_pool, equal))
-            shared = equal[:, :BANDS * BAND_ROWS].reshape(len(open_pool), BANDS, BAND_ROWS).all(axis=2)
-            wanted = open_pool[(shared.sum(axis=1) >= SHARED) & (shared.argmax(axis=1) == here)]
-            if len(wanted):
-                guess = joint_similarity(np.repeat(sketches[i:i + 1], len(wanted), axis=0), sketches[wanted],
-                                         np.full(len(wanted), n[i]), n[wanted])
-                wanted = wanted[guess >= least]
-                left += [rep[i]] * len(wanted)
-                right += rep[wanted].tolist()
-        if left:
-            yield pa.record_batch({"a": pa.array(np.minimum(left, right), pa.int64()),
-                                   "b": pa.array(np.maximum(left, right), pa.int64())})
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows that stand for their digest; a repeated id may come with another text."""
     for batch in small_batches(batches):
+        wanted = batch.column("digest").to_pylist()
         sets = _document_sets(batch, shingle)
-        yield pa.record_batch({"rep": batch.column("doc_id"),
-                               "elements": pa.array([s.tobytes() for s in sets], pa.binary())})
+        kept = [i for i, s in enumerate(sets) if _digest(s) == wanted[i]]
+        yield pa.record_batch({
+            "rep": batch.column("doc_id").take(pa.array(kept, pa.int64())),
+            "n": pa.array([len(sets[i]) for i in kept], pa.int64()),
+            "bits": pa.array([parity_bits(sets[i]) for i in kept], pa.binary()),
+            "elements": pa.array([sets[i].tobytes() for i in kept], pa.binary())})
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Keep pairs whose sketches make the threshold likely enough and whose full sets reach it."""
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches make the threshold likely enough to be verified at once."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = [np.array([len(x) // 8 for x in batch.column(c).to_pylist()]) for c in ("set_a", "set_b")]
-        guess = joint_similarity(_matrix(batch.column("sketch_a")), _matrix(batch.column("sketch_b")), *sizes)
-        likely = (guess >= percent / 100 - SLACK) & (
-            100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
-        linked = np.zeros(batch.num_rows, dtype=bool)
-        for i in np.flatnonzero(likely).tolist():
-            merged = np.concatenate([np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64)
-                                     for c in ("set_a", "set_b")])
-            merged.sort()
-            shared = int((merged[1:] == merged[:-1]).sum())
-            linked[i] = 100 * shared >= percent * (len(merged) - shared)
-        keep = pa.array(linked)
-        yield pa.record_batch({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
-
-
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of ``links(a, b)``: the smallest node it is connected to.
-
-    Each round, every node of a tree takes the smallest root among its neighbours
-    and then its root's root. Minima are combined before each shuffle.
-    """
-    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
-        "node", F.least("node", "low").alias("root")))
-    while True:
-        offers = both.join(state, F.col("a") == F.col("node")).groupBy("b").agg(F.min("root").alias("offer"))
-        hooked = scratch.write(state.join(offers, F.col("node") == F.col("b")).select(
-            "node", F.col("root").alias("before"), F.least("root", "offer").alias("root")))
-        # A root's own row may have moved on; the smallest offer to any member of a tree moves its root as well.
-        moves = hooked.groupBy(F.col("before").alias("tree")).agg(F.min("root").alias("to"))
-        jumped = scratch.write(hooked.join(moves, F.col("root") == F.col("tree"), "left").select(
-            "node", "before", F.least("root", F.coalesce("to", "root")).alias("root")))
-        changed = not jumped.filter(F.col("root") != F.col("before")).isEmpty()
-        scratch.drop(hooked, state)
-        state = scratch.write(jumped.select("node", "root")) if changed else jumped.select("node", "root")
-        if not changed:
-            scratch.drop(both)
-            return state
-        scratch.drop(jumped)
+        if batch.num_rows:
+            guess = joint_similarity(*[_matrix(batch.column(c)) for c in ("sketch_a", "sketch_b")],
+                                     *[batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+            keep = pa.array(guess >= percent / 100 - SLACK)
+            yield pa.record_batch({c: batch.column(c).filter(keep) for c in ("a", "b")})
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -254,102 +189,28 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
     usable = signed.filter("doc_id IS NOT NULL AND n > 0")
     first = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = scratch.write(
-        usable.join(first, (usable["digest"] == first["digest"]) & (usable["doc_id"] == first["rep"]))
-        .dropDuplicates(["rep"]).select("rep", "n", "sketch"))
-    rounds = _Rounds(scratch, source, reps, shingle, percent)
-    links = rounds.run()
+        usable.join(first, "digest").filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
+        .select("rep", "n", "sketch", "digest"))
+    bands = reps.mapInArrow(_bands, "key long, rep long")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    members = scratch.write(bands.join(shared, "key"))
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "digest")
+    sets = scratch.write(source.join(wanted, "doc_id").mapInArrow(
+        partial(_full_sets, shingle=shingle), "rep long, n long, bits binary, elements binary").dropDuplicates(["rep"]))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return with_sides(pairs, reps, "n", "sketch").mapInArrow(partial(_likely, percent=percent), "a long, b long")
+
+    found = links(scratch, members, sets, percent, likely)
     # A repeated id may stand for different sets: its row in another class links the two.
     same_id = usable.join(first, "digest").filter(F.col("doc_id") != F.col("rep")).select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(scratch, links.unionByName(same_id).distinct())
+    roots = components(scratch, found.unionByName(same_id).distinct())
     result = signed.select("doc_id", "n").join(roots, signed["doc_id"] == roots["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-class _Rounds:
-    """Candidate rounds over the band values of the class representatives."""
-
-    def __init__(self, scratch: Scratch, source: DataFrame, reps: DataFrame, shingle: int, percent: int):
-        self.scratch, self.source, self.reps, self.shingle, self.percent = scratch, source, reps, shingle, percent
-
-    def run(self) -> DataFrame:
-        bands = self.reps.mapInArrow(_bands, "band long, rep long")
-        shared = bands.groupBy("band").agg(
-            F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("size > 1")
-        # Only band values with several members take part from here on.
-        members = self.scratch.write(bands.join(shared, "band"))
-        self.full = self.scratch.write(
-            self.source.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(partial(_full_sets, shingle=self.shingle), "rep long, elements binary")
-            .join(self.reps.select("rep", "n", "sketch"), "rep")
-            .filter(F.octet_length("elements") == F.col("n") * 8).dropDuplicates(["rep"]).drop("n"))
-        offers = members.select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))
-        links = self.scratch.write(self._linked(self._picked(offers)))
-        # Also bands of two members: a pair is compared at the first band it shares.
-        open_bands = members.select("band", "rep")
-        for last in (False, True):
-            roots = components(self.scratch, links)
-            placed = self.scratch.write(open_bands.join(roots, F.col("rep") == F.col("node"), "left").select(
-                "band", "rep", F.coalesce("root", "rep").alias("root")))
-            some = [F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("order"), "rep"))["rep"].alias(f"one{i}")
-                    for i in range(OFFERS)]
-            parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), *some)
-            mixed = parts.groupBy("band").agg(
-                F.max(F.struct("k", "root", *[f"one{i}" for i in range(OFFERS)])).alias("big"),
-                F.min(F.struct("k", "root", "one0")).alias("small"), F.sum("k").alias("size"),
-                F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-            live = self.scratch.write(placed.join(mixed, "band"))
-            # Members outside the largest component of a band value look for partners.
-            strays = live.filter("root != big.root")
-            if strays.isEmpty():
-                break
-            if last:
-                pairs = self._all_likely(live)
-            else:
-                offers = strays.select(F.col("rep").alias("x"), F.explode(F.array(
-                    *[F.col(f"big.one{i}") for i in range(OFFERS)],
-                    F.when(F.col("small.root") != F.col("root"), F.col("small.one0")))).alias("y"))
-                pairs = self._picked(offers.filter("y IS NOT NULL"), OFFERS)
-            found = self.scratch.write(self._linked(pairs))
-            joined = self.scratch.write(links.unionByName(found).distinct())
-            self.scratch.drop(links, found, placed, live)
-            links = joined
-        return links
-
-    def _all_likely(self, live: DataFrame) -> DataFrame:
-        """All pairs of different components that share ``SHARED`` bands and may be alike enough, each once.
-
-        A band value is dealt into blocks of about ``BLOCK_MEMBERS`` members; its
-        strays visit every block, so no task holds more than a block and them.
-        """
-        blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-        stray = F.col("root") != F.col("big.root")
-        fields = ["band", "rep", "root", "block", "asks", "stray"]
-        pool = live.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn(
-            "asks", F.lit(False)).withColumn("stray", stray).select(*fields)
-        asking = live.filter(stray).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
-            "asks", F.lit(True)).withColumn("stray", F.lit(True)).select(*fields)
-        dealt = pool.unionByName(asking).join(self.reps.select("rep", "n", "sketch"), "rep")
-        return dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(
-            partial(_compare, least=self.percent / 100 - SLACK), "a long, b long")
-
-    def _picked(self, offers: DataFrame, picks: int = 2) -> DataFrame:
-        """For each ``x`` the ``picks`` partners ``y`` it shares most bands with, at least ``SHARED``."""
-        counted = offers.filter("x != y").groupBy("x", "y").count().filter(F.col("count") >= SHARED)
-        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("count"), "y"))
-        return counted.withColumn("rank", rank).filter(F.col("rank") <= picks).select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def _linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are alike enough."""
-        full = (pairs.join(self.full.select(F.col("rep").alias("a"), F.col("elements").alias("set_a"),
-                                            F.col("sketch").alias("sketch_a")), "a")
-                .join(self.full.select(F.col("rep").alias("b"), F.col("elements").alias("set_b"),
-                                       F.col("sketch").alias("sketch_b")), "b"))
-        return full.mapInArrow(partial(_verify, percent=self.percent), "a long, b long")
-
-
 _WORDS = ("list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
           "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')")
 
