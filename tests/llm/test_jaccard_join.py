@@ -82,7 +82,7 @@ def test_combinations_of_frequent_tokens_meet(monkeypatch):
         n = int(rng.choice([3, 8, 40, 63, 64, 70, 90, 130, 400]))
         percent = int(rng.choice([60, 80, 85, 95]))
         tokens = mix(np.arange(3 * n, dtype=np.uint64) + np.uint64(trial * 10 ** 6))
-        levels = rng.choice(np.array([0, 2, 4, 6, 8, 11, 14], np.uint8), 3 * n,
+        levels = rng.choice(np.array([0, 2, 4, 6, 12, 16, 20], np.uint8), 3 * n,
                             p=rng.dirichlet(np.full(7, 0.4)))
         a = np.arange(n)
         lost = rng.permutation(n)[:int(rng.integers(0, n + 1))]

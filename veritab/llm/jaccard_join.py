@@ -43,10 +43,10 @@ from veritab.llm.words import mix, small_batches
 
 FREQUENT_TOKENS = 1 << 23
 RANGE_TOKENS = 1 << 22
-# Frequency classes by the bit length of the number of documents: up to 31 alone, up to 1023 by two, others by three.
-ALONE, PAIRS = 5, 10
-# Sets below this size index all tokens alone; larger ones deal a class into a sixteenth as many parts.
-SMALL_SET, PART = 64, 16
+# Frequency classes by the bit length of the number of documents: up to 31 alone, up to 32767 by two, others by three.
+ALONE, PAIRS = 5, 15
+# Sets below this size index all tokens alone; larger ones deal a class into an eighth as many parts.
+SMALL_SET, PART = 64, 8
 
 
 def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85, most: int = FREQUENT_TOKENS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from veritab.llm.base import Scratch
 from veritab.llm.words import grouped, mix
 
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS = 4096
 
 
 def parity_bits(elements: np.ndarray) -> bytes:
