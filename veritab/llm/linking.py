@@ -3,8 +3,8 @@
 Groups of alike sets hold as many pairs as the square of their size, but what
 connects them is one link less than their number. Keys whose members all share
 one larger key, their home, are left out, and two sets of one home are compared
-there alone. First every set is compared with the smallest and the largest id of
-its keys, those it shares most keys with. Then only keys count whose
+there alone. First every set is compared with a few of those that each key names
+to all its members, the ones it shares most keys with. Then only keys count whose
 members still lie in several components, and only members outside a key's
 largest component ask. A task compares two blocks of members by their parity
 bits: each set sets or clears bits of a bitmap by its elements, and two bitmaps
@@ -31,6 +31,7 @@ from veritab.llm.base import Scratch
 from veritab.llm.words import grouped, mix
 
 BLOCK_MEMBERS = 4096
+FIRST_PAIRS = 3
 
 
 def parity_bits(elements: np.ndarray) -> bytes:
@@ -66,11 +67,13 @@ def links(
     pick the first pairs to compare out of those offered; the others come later.
     """
     members = scratch.write(_needed_groups(members))
-    ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    offers = members.join(ends, "key").select(F.col("rep").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    hashed = F.xxhash64("rep")
+    ends = members.groupBy("key").agg(F.array_distinct(F.array(
+        F.min("rep"), F.max("rep"), F.min_by("rep", hashed), F.max_by("rep", hashed))).alias("ends"))
+    offers = members.join(ends, "key").select(F.col("rep").alias("x"), F.explode("ends").alias("y"))
     counted = offers.filter("x != y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))
-    picked = counted.withColumn("rank", rank).filter("rank <= 2").select(
+    picked = counted.withColumn("rank", rank).filter(f"rank <= {FIRST_PAIRS}").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     possible = _possible(picked, sets, percent)
     judged = scratch.write(_judged(scratch.write(likely(possible) if likely else possible), sets, percent))
@@ -93,6 +96,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
         "node", F.least("node", "low").alias("root")))
+    written = [state]
     while True:
         offers = both.join(state, F.col("a") == F.col("node")).groupBy("b").agg(F.min("root").alias("offer"))
         hooked = scratch.write(state.join(offers, F.col("node") == F.col("b")).select(
@@ -102,12 +106,12 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         jumped = scratch.write(hooked.join(moves, F.col("root") == F.col("tree"), "left").select(
             "node", "before", F.least("root", F.coalesce("to", "root")).alias("root")))
         changed = not jumped.filter(F.col("root") != F.col("before")).isEmpty()
-        scratch.drop(hooked, state)
-        state = scratch.write(jumped.select("node", "root")) if changed else jumped.select("node", "root")
+        scratch.drop(hooked, *written)
+        written = [jumped]
+        state = jumped.select("node", "root")
         if not changed:
             scratch.drop(both)
             return state
-        scratch.drop(jumped)
 
 
 def _needed_groups(members: DataFrame) -> DataFrame:
