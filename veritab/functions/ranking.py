@@ -15,8 +15,6 @@ from veritab.session import checkpoint
 
 BUCKET_ROWS = 500_000
 MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 16
-FANOUT = 64
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 1_000
@@ -32,10 +30,10 @@ def running_totals(
     """Add inclusive running sums in the order of ``key``, which must be unique and not null.
 
     ``totals`` maps each new column to the column it sums. A table that fits one
-    bucket is ordered in one window. A larger one is cut into key ranges whose
-    ends come from a hash sample; the sums of the earlier ranges (at most
-    ``MAX_BUCKETS`` rows on the driver) are added to the running sums inside
-    each range, so no task sees more than its range.
+    bucket is ordered in one window. A larger one is dealt into key ranges and
+    written; the sums of the earlier ranges (one row a range, at most
+    ``MAX_BUCKETS``, on the driver) are added to the running sums inside each range,
+    so no task sees more than its range.
     """
     order = col(key).desc() if descending else col(key).asc()
     rows = df.count()
@@ -43,49 +41,42 @@ def running_totals(
         window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(col(source)).over(window).alias(name) for name, source in totals.items()])
 
-    df = checkpoint(df)
     buckets = min(MAX_BUCKETS, math.ceil(rows / bucket_rows))
-    sample = [
-        row[0]
-        for row in df.select(col(key)).orderBy(F.xxhash64(col(key)), col(key))
-        .limit(buckets * SAMPLES_PER_BUCKET).collect()
-    ]
-    sample.sort()
-    ends = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)})
-    marked = df.withColumn("_bucket", _bucket_of(col(key), ends, df.schema[key].dataType))
+    place = _unused("_range", df.columns)
+    # Written, so that a range keeps its rows when a lost executor makes Spark repeat a step.
+    dealt = checkpoint(df.repartitionByRange(buckets, order).withColumn(place, F.spark_partition_id()))
     sums = {
-        row["_bucket"]: row
-        for row in marked.groupBy("_bucket").agg(*[F.sum(col(s)).alias(n) for n, s in totals.items()]).collect()
+        row[place]: row
+        for row in dealt.groupBy(place).agg(*[F.sum(col(s)).alias(n) for n, s in totals.items()]).collect()
     }
-    sequence = sorted(sums, reverse=descending)
-    window = (
-        Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    window = Window.partitionBy(place).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     result = []
     for name, source in totals.items():
         offset, before = {}, 0
-        for bucket in sequence:
+        for bucket in sorted(sums):
             offset[bucket] = before
             before += sums[bucket][name]
-        offsets = F.array(*[F.lit(offset.get(b, 0)) for b in range(len(ends) + 1)])
-        result.append((F.sum(col(source)).over(window) + F.get(offsets, F.col("_bucket"))).alias(name))
-    return marked.select(*[col(c) for c in df.columns], *result)
+        offsets = F.array(*[F.lit(offset.get(b, 0)) for b in range(buckets)])
+        result.append((F.sum(col(source)).over(window) + F.get(offsets, F.col(place))).alias(name))
+    return dealt.select(*[col(c) for c in df.columns], *result)
 
 
-def _bucket_of(value: Column, ends: Sequence, data_type: T.DataType) -> Column:
-    """Number of range ends at or below ``value``, by a search over two levels of ends."""
+def _unused(name: str, columns: Sequence[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
 
-    def literal(items: Sequence) -> Column:
-        return F.array(*[F.lit(v).cast(data_type) for v in items]).cast(T.ArrayType(data_type))
 
-    def passed(items: Column) -> Column:
-        return F.size(F.filter(items, lambda e: e <= value))
+def hashed_sample(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
+    """``rows`` rows of the smallest hashes of ``key`` (all, if there are fewer) out of about ``total``.
 
-    if len(ends) <= FANOUT:
-        return passed(literal(ends))
-    groups = [ends[i:i + FANOUT] for i in range(0, len(ends), FANOUT)]
-    group = passed(literal([g[0] for g in groups[1:]]))
-    return group * FANOUT + passed(F.get(F.array(*[literal(g) for g in groups]), group))
+    Only rows below a bound on the hash are sorted, about twice as many as wanted,
+    so the driver gets as few of them however many partitions there are.
+    """
+    mixed = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    few = total <= 4 * rows
+    bound = (1 << 40) if few else math.ceil((2 * rows + 100) / total * (1 << 40))
+    return df.filter(mixed < F.lit(bound)).orderBy(mixed, key).limit(rows)
 
 
 def dense_codes(values: DataFrame, key: str, name: str = "code", bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritab.functions.ranking import hashed_sample
 from veritab.ml.vectors import distances_to, feature_array, matrix
 from veritab.schema import col
 
@@ -46,7 +47,7 @@ def nearest_neighbors(
     points = points.withColumn("_copy", copies).filter(F.col("_copy") <= k).drop("_copy")
     rows = points.count()
     pivot_count = min(MAX_PIVOTS, max(1, rows // min(CELL_ROWS, block_rows)))
-    sample = points.select("x").orderBy(F.xxhash64("neighbor"), "neighbor").limit(pivot_count).collect()
+    sample = hashed_sample(points.select("neighbor", "x"), F.col("neighbor"), pivot_count, rows).select("x").collect()
     pivots = matrix([row["x"] for row in sample])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 
 from veritab.functions.numeric import percent
 from veritab.functions.quantiles import BUFFER_ROWS, exact_quantiles
+from veritab.functions.ranking import BROADCAST_ROWS
 from veritab.operators.profile import infer_types, potential_conversion
 from veritab.operators.values import value_counts
 from veritab.schema import as_double, col, column_types, numeric_only, require_columns, scalar_columns
+from veritab.session import checkpoint
 
 REPORT_IQR_FACTOR = 1.5
 REPORT_Z_LIMIT = 3.0
@@ -49,20 +51,51 @@ def missing_band(count: Column, percentage: Column) -> Column:
     )
 
 
+def _fingerprints(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """128 bits that equal rows share; NULLs are equal and differ from all values."""
+    cells = [x for c in columns for x in (col(c), col(c).isNull())]
+    return [F.xxhash64(F.lit(seed), *cells).alias(name) for seed, name in enumerate(_PRINTS)]
+
+
+_PRINTS = ("fingerprint_1", "fingerprint_2")
+
+
+def _held_twice(df: DataFrame, columns: Sequence[str], key: str | None = None) -> tuple[int, DataFrame]:
+    """Rows whose fingerprint nothing else has, and the others as ``cell_0, cell_1, ...`` and ``key``.
+
+    Only fingerprints are shuffled for all rows, and those held twice are written.
+    Whole rows move where their fingerprint is among them: a table of checked size
+    is sent to all tasks, a larger one meets the rows in a shuffle.
+    """
+    counted = df.select(*_fingerprints(df, columns)).groupBy(*_PRINTS).agg(F.count(F.lit(1)).alias("n"))
+    shared = checkpoint(counted.filter("n > 1"))
+    prints, rows = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shared = shared.select(*_PRINTS)
+    carried = [] if key is None else [col(key).alias("key")]
+    cells = df.select(
+        *_fingerprints(df, columns), *[col(c).alias(f"cell_{i}") for i, c in enumerate(columns)], *carried)
+    return df.count() - rows, cells.join(
+        F.broadcast(shared) if prints <= BROADCAST_ROWS else shared, list(_PRINTS), "left_semi")
+
+
 def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Duplicate rows (all but the first copy; NULLs are equal), groups and unique rows.
 
-    Copies collapse in the partial aggregate, so a row that fills a third of
-    the table costs one shuffled row per task.
+    Rows are counted by fingerprint, and only those that share one are compared.
+    Copies collapse in the partial aggregates, so a row that fills a third of the
+    table costs one shuffled row per task.
     """
     columns = df.columns if columns is None else list(columns)
     require_columns(df, columns)
-    groups = df.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    if not columns:
+        return duplicate_summary(df.select(F.lit(0).alias("none")), ["none"])
+    alone, suspects = _held_twice(df, columns)
+    groups = suspects.groupBy(*_PRINTS, *[f"cell_{i}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias("n"))
     totals = groups.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.count_if(F.col("_copies") > 1).alias("duplicate_groups"),
-        F.count(F.lit(1)).alias("unique_rows"),
+        (F.coalesce(F.sum("n"), F.lit(0)) + alone).alias("total_rows"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
+        F.count_if(F.col("n") > 1).alias("duplicate_groups"),
+        (F.count(F.lit(1)) + alone).alias("unique_rows"),
     )
     return totals.select(
         "total_rows", "duplicate_rows",
@@ -74,18 +107,20 @@ def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def duplicate_keys(df: DataFrame, key: str, columns: Sequence[str] | None = None, limit: int = 100) -> DataFrame:
     """The smallest ``limit`` keys of rows that repeat an earlier row.
 
-    Each group contributes at most ``limit + 1`` rows, cut before the shuffle by
-    the window's group limit.
+    Only rows whose fingerprint is held twice are compared. Each group contributes
+    at most ``limit + 1`` rows, cut before the shuffle by the window's group limit.
     """
     columns = [c for c in df.columns if c != key] if columns is None else list(columns)
     require_columns(df, [key, *columns])
-    window = Window.partitionBy(*[col(c) for c in columns]).orderBy(col(key))
+    if not columns:
+        return duplicate_keys(df.select(col(key), F.lit(0).alias(f"{key}_")), key, [f"{key}_"], limit)
+    _, suspects = _held_twice(df, columns, key)
+    window = Window.partitionBy(*_PRINTS, *[f"cell_{i}" for i in range(len(columns))]).orderBy("key")
     return (
-        df.select(*[col(c) for c in dict.fromkeys([key, *columns])])
-        .withColumn("_copy", F.row_number().over(window))
-        .filter(F.col("_copy") <= limit + 1)
-        .filter(F.col("_copy") > 1)
-        .select(col(key)).orderBy(col(key)).limit(limit)
+        suspects.withColumn("copy", F.row_number().over(window))
+        .filter(F.col("copy") <= limit + 1)
+        .filter(F.col("copy") > 1)
+        .select(F.col("key").alias(key)).orderBy(col(key)).limit(limit)
     )
 
 
