@@ -243,3 +243,15 @@ def test_importance_order(spark):
     assert [r["importance"] for r in charts.variance_importance(flat).collect()] == [0.5, 0.5]
     noise = spark.createDataFrame([(-1,), (0,), (0,)], "label int")
     assert {r["name"]: r["n"] for r in charts.cluster_sizes(noise, "label").collect()} == {"Noise": 1, "Cluster 0": 2}
+
+
+def test_silhouette_opens_near_clusters_only(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.uniform(-500, 500, (12, 3))
+    x = np.concatenate([c + rng.normal(size=(40, 3)) for c in centers])
+    labels = np.repeat(np.arange(12), 40)
+    rows = points(spark, x, labels).selectExpr("key AS id", "label AS cluster", "x")
+    opened = metrics.opened_clusters(rows, 12)
+    # All of 480 rows against 12 clusters would be 5760 pairs.
+    assert 2 * 480 <= opened.count() < 3 * 480
+    assert opened.filter("cluster = opened").count() == 480

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.ml.vectors import distances_to, feature_array, feature_vector, matrix
 from veritab.operators.charts import area_under_curve, prediction_counts, roc_points
 from veritab.schema import col
+from veritab.session import checkpoint
 
 BLOCK_ROWS = 4096
 BROADCAST_CLUSTERS = 100_000
@@ -65,10 +67,12 @@ def silhouette_exact(
 ) -> DataFrame:
     """Mean silhouette with Euclidean distance over clustered rows; NULL unless 2 to n-1 clusters.
 
-    Exact, so the work grows with the square of the rows. Rows are dealt into
-    equal blocks by key hash, every pair of blocks is one task of bounded size,
-    and a task returns distance sums per row and cluster, never single
-    distances. ``silhouette_squared`` is the linear-time measure.
+    Exact. The mean distance of a row to a cluster is at least the distance to its
+    centre, and at most that and the cluster's mean distance from its centre. So a
+    row opens its own cluster and those that may be the nearest, and no others.
+    Who opens a cluster and its members are dealt into blocks, every pair of blocks
+    is one task of bounded size, and a task returns distance sums per row, never
+    single distances. ``silhouette_squared`` is the linear-time measure.
     """
     rows = df.filter(col(label) != -1).select(
         col(key).alias("id"), col(label).alias("cluster"), feature_array(df, features).alias("x"))
@@ -78,32 +82,38 @@ def silhouette_exact(
     schema = "silhouette_score double"
     if not 2 <= groups <= size - 1:
         return df.sparkSession.createDataFrame([(None,)], schema)
-    blocks = math.ceil(size / block_rows)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumn("left", F.col("block")).withColumn("right", every)
-    right = dealt.withColumn("right", F.col("block")).withColumn("left", every)
+    opened = checkpoint(opened_clusters(rows, groups))
+    dealt = (opened.groupBy("opened").agg(F.count(F.lit(1)).alias("asking")).join(
+        clusters, F.col("opened") == F.col("cluster")).select(
+        F.col("opened").alias("of"), "members", F.ceil(F.col("asking") / block_rows).cast("int").alias("lefts"),
+        F.ceil(F.col("members") / block_rows).cast("int").alias("rights")))
+    dealt = F.broadcast(dealt) if groups <= BROADCAST_CLUSTERS else dealt
+
+    def block(number: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(number)).cast("int")
+
+    def every(number: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+
+    left = opened.join(dealt, F.col("opened") == F.col("of")).withColumn("left", block("lefts")).withColumn(
+        "right", every("rights")).select("of", "left", "right", "id", "cluster", "x")
+    right = rows.join(dealt, F.col("cluster") == F.col("of")).withColumn("right", block("rights")).withColumn(
+        "left", every("lefts"))
     # Both sides come from one table; new column identities keep the cogroup unambiguous.
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    right = right.select(*[F.col(c).alias(c) for c in ("of", "left", "right", "x")])
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "own", "cluster", "total"]
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in columns})
-        codes, names = pd.factorize(b["cluster"])
         points = matrix(b["x"])
-        totals = [
-            np.bincount(codes, weights=distances_to(points, one), minlength=len(names)) for one in matrix(a["x"])
-        ]
-        width = len(names)
         return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), width), "own": np.repeat(a["cluster"].to_numpy(), width),
-            "cluster": np.tile(np.asarray(names), len(a)), "total": np.concatenate(totals),
-        })[columns]
+            "id": a["id"], "own": a["cluster"], "cluster": a["of"],
+            "total": [distances_to(points, one).sum() for one in matrix(a["x"])]})[columns]
 
     id_type = rows.schema["id"].dataType.simpleString()
     cluster_type = rows.schema["cluster"].dataType.simpleString()
-    partial = left.groupBy("left", "right").cogroup(right.groupBy("left", "right")).applyInPandas(
+    partial = left.groupBy("of", "left", "right").cogroup(right.groupBy("of", "left", "right")).applyInPandas(
         sums, f"id {id_type}, own {cluster_type}, cluster {cluster_type}, total double")
     whole = partial.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"))
     with_sizes = whole.join(F.broadcast(clusters) if groups <= BROADCAST_CLUSTERS else clusters, "cluster")
@@ -118,6 +128,52 @@ def silhouette_exact(
     return per_row.agg(F.avg(score).alias("silhouette_score"))
 
 
+def opened_clusters(rows: DataFrame, groups: int) -> DataFrame:
+    """``rows(id, cluster, x)`` once for each cluster they open: their own, and those that may be the nearest other.
+
+    Centres and mean radii come from two aggregations and are sent to all tasks, so
+    there may be ``BROADCAST_CLUSTERS`` of them at most.
+    """
+    if groups > BROADCAST_CLUSTERS:
+        raise ValueError(f"an exact silhouette takes {BROADCAST_CLUSTERS} clusters at most, there are {groups}")
+    found = {r["cluster"]: r["center"].toArray() for r in rows.select(
+        "cluster", array_to_vector("x").alias("v")).groupBy("cluster").agg(
+        Summarizer.mean(F.col("v")).alias("center")).collect()}
+    names = sorted(found)
+    centers = np.array([found[c] for c in names])
+    code = {c: i for i, c in enumerate(names)}
+
+    def gaps(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([distances_to(x, c) for c in centers])
+
+    def own_gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                own = batch["cluster"].map(code).to_numpy()
+                yield pd.DataFrame({"cluster": batch["cluster"], "gap": gaps(matrix(batch["x"]))[np.arange(len(own)), own]})
+
+    cluster_type = rows.schema["cluster"].dataType.simpleString()
+    spread = {r["cluster"]: r["gap"] for r in rows.select("cluster", "x").mapInPandas(
+        own_gaps, f"cluster {cluster_type}, gap double").groupBy("cluster").agg(F.avg("gap").alias("gap")).collect()}
+    radius = np.array([spread[c] for c in names])
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            own = batch["cluster"].map(code).to_numpy()
+            low = gaps(matrix(batch["x"]))
+            high = low + radius
+            high[np.arange(len(own)), own] = np.inf
+            wanted = low <= high.min(axis=1)[:, None] * (1 + 1e-9)
+            wanted[np.arange(len(own)), own] = True
+            row, cluster = np.nonzero(wanted)
+            yield batch.iloc[row].assign(opened=np.array(names, dtype=object)[cluster])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInPandas(choose, f"id {types['id']}, cluster {types['cluster']}, x array<double>, opened {types['cluster']}")
+
+
 def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> float:
     """Silhouette with squared Euclidean distance, in one pass over the rows."""
     rows = df.filter(col(label) != -1).select(

@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -257,10 +258,14 @@ def fit_svm(train: DataFrame, parameters: dict[str, Any], classes: int, seed: in
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 1, max_iter: int = 300):
     """K-means on ``features``; the best of ``restarts`` seeds by within-cluster cost."""
     best = None
-    for attempt in range(restarts):
-        model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    vectors = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for attempt in range(restarts):
+            model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter).fit(vectors)
+            if best is None or model.summary.trainingCost < best.summary.trainingCost:
+                best = model
+    finally:
+        vectors.unpersist()
     return best
 
 
@@ -273,7 +278,7 @@ def train_unsupervised(
 ) -> TrainingResult:
     """Cluster the rows and evaluate the clusters; ``predictions`` holds ``key, label``.
 
-    The parameter ``silhouette`` is ``exact`` (quadratic in the rows) or ``squared`` (linear).
+    The parameter ``silhouette`` is ``exact`` (quadratic in the rows of a cluster) or ``squared`` (linear).
     """
     parameters = dict(parameters or {})
     if algorithm not in UNSUPERVISED:
