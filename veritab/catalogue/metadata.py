@@ -98,6 +98,20 @@ def retention(spark, folder):
     ).select("event_id")
 
 
+@query("retention_by_day", (
+    "SELECT strftime(ts + INTERVAL 10 DAYS, '%Y-%m-%d') AS expiry_day, count(*) AS kept, max(event_id) AS newest "
+    "FROM events WHERE CAST(ts + INTERVAL 10 DAYS AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY 1"
+))
+def retention_by_day(spark, folder):
+    events = _events(spark, folder)
+    path = scratch_folder(spark)
+    ttl = F.unix_timestamp(F.col("ts").cast("timestamp")) + 10 * 86400
+    registry.append_expiring(events.select("event_id", ttl.alias("ttl")), path)
+    registry.drop_expired(spark, path, events.agg(F.max("ts")).first()[0])
+    return spark.read.parquet(path).groupBy(F.col("expiry_day").cast("string").alias("expiry_day")).agg(
+        F.count(F.lit(1)).alias("kept"), F.max("event_id").alias("newest"))
+
+
 @query("log_values", (
     "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 3, 6) AS price, l_quantity * 1e30 AS large FROM lineitem"
 ))

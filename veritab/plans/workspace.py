@@ -18,7 +18,7 @@ from veritab.plans import reports
 from veritab.plans.cleaning import CleaningResult, run_operations
 from veritab.schema import numeric_only, scalar_columns
 from veritab.session import checkpoint
-from veritab.sources import datasets, readers, registry
+from veritab.sources import datasets, folders, readers, registry
 from veritab.sources.readers import DatasetError
 
 CHARTS = ("correlation_heatmap", "confusion_matrix", "roc_curve", "cluster_plot", "cluster_centers", "cluster_distribution",
@@ -220,13 +220,26 @@ class Workspace:
         served = checkpoint(probed.withColumn("cached", F.when(F.col("hit"), stored)).select(
             *[F.coalesce("cached", c).alias(c) if c == "recommended_models" else F.col(c) for c in models.columns],
             "prompt_hash", F.col("hit").alias("cached")))
-        served.filter(~F.col("cached")).select(
+        registry.append_expiring(served.filter(~F.col("cached")).select(
             "prompt_hash", F.to_json("recommended_models").alias("response"), now.alias("stored"),
-            (F.unix_timestamp(now) + registry.CACHE_LIFETIME_HOURS * 3600).alias("ttl")) \
-            .write.mode("append").parquet(self._path("responses"))
+            (F.unix_timestamp(now) + registry.CACHE_LIFETIME_HOURS * 3600).alias("ttl")), self._path("responses"))
         found["models"] = served.drop("prompt_hash")
-        registry.decisions(found["models"], F.lit(session_id), now) \
-            .write.mode("append").parquet(self._path("decisions"))
+        registry.append_expiring(registry.decisions(found["models"], F.lit(session_id), now), self._path("decisions"))
         self._log({"session_id": session_id, "timestamp": _now(), "operation_type": "ai_recommendation",
                    "status": "completed"})
         return found
+
+    # --- retention ----------------------------------------------------------------
+
+    def expire(self, now: datetime | None = None) -> dict[str, list[str]]:
+        """Delete what has outlived its time: days of cached answers and decisions, datasets and charts of idle sessions.
+
+        Only folders that expire are touched, one at a time, each taken out of sight
+        before it is deleted. Their names are returned.
+        """
+        now = now or _now()
+        gone = {name: registry.drop_expired(self.spark, self._path(name), now) for name in ("responses", "decisions")}
+        idle = registry.idle_sessions(self.sessions(), F.lit(now)).toLocalIterator()
+        gone["sessions"] = [row["session_id"] for row in idle if [
+            kind for kind in ("datasets", "charts") if folders.remove(self.spark, self._path(f"{kind}/{row['session_id']}"))]]
+        return gone

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from veritab.functions.ranking import lookup
 from veritab.schema import col
+from veritab.sources import folders
 
 LOG_SCHEMA = (
     "session_id string, timestamp timestamp, operation_type string, model_type string, operation_id string, "
@@ -28,6 +29,8 @@ SESSION_SCHEMA = (
     "quality_score double, row_count bigint, column_count bigint"
 )
 DECISION_RETENTION = timedelta(days=30)
+DATASET_RETENTION = timedelta(days=30)
+EXPIRY_DAY = "expiry_day"
 CACHE_LIFETIME_HOURS = 24
 
 
@@ -139,9 +142,25 @@ def unexpired(df: DataFrame, ttl: Column, now: Column) -> DataFrame:
     return df.filter(ttl > now)
 
 
-def rewrite_unexpired(df: DataFrame, now: Column, path: str) -> None:
-    """Write the live rows to a new folder; swap it in once it is complete."""
-    unexpired(df, F.col("ttl"), now).write.mode("errorifexists").parquet(path)
+def append_expiring(df: DataFrame, path: str) -> None:
+    """Append rows with a ``ttl`` in seconds to a table that is partitioned by the day they expire on."""
+    df.withColumn(EXPIRY_DAY, F.to_date(F.timestamp_seconds(F.col("ttl")))).write.mode("append").partitionBy(
+        EXPIRY_DAY).parquet(path)
+
+
+def drop_expired(spark: SparkSession, path: str, now: datetime) -> list[str]:
+    """Delete the partitions of days that are over; the others are not touched, nor read.
+
+    Rows that expire on the present day stay until it is over; ``unexpired`` hides them.
+    """
+    over = [name for name in folders.subfolders(spark, path)
+            if name.startswith(f"{EXPIRY_DAY}=") and name.split("=", 1)[1] < now.date().isoformat()]
+    return [name for name in over if folders.remove(spark, f"{path}/{name}")]
+
+
+def idle_sessions(sessions: DataFrame, now: Column, days: int = DATASET_RETENTION.days) -> DataFrame:
+    """Sessions, as ``current_sessions`` gives them, whose last change is ``days`` days past."""
+    return sessions.filter(F.col("updated_at") + F.make_dt_interval(F.lit(days)) <= now).select("session_id")
 
 
 def decisions(recommended: DataFrame, session: Column, decided_at: Column) -> DataFrame:
