@@ -30,6 +30,7 @@ def data():
 @pytest.fixture(scope="session")
 def ten(spark):
     """The ten-row frame with two missing cells."""
+    # The cells of the frame.
     numeric = [1.0, 2.0, 3.0, 4.0, 5.0, None, 7.0, 8.0, 9.0, 10.0]
     mixed = [1.1, 2.2, None, 4.4, 5.5, 6.6, 7.7, 8.8, 9.9, 10.0]
     rows = list(zip(range(10), numeric, "ABACBACABC", mixed))
