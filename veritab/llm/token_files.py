@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from veritab.functions.ranking import hashed_sample
 from veritab.llm.base import Scratch, query, table
 from veritab.llm.words import small_batches
 
@@ -258,8 +259,8 @@ def write_token_files(documents: DataFrame, folder: str, path: str | None = None
     source = documents.select(documents["doc_id"].cast("long").alias("doc_id"),
                               documents["text"].cast("string").alias("text"))
     if dictionary is None:
-        sample = source.filter("text IS NOT NULL").select(F.substring("text", 1, 20_000).alias("text"), "doc_id").orderBy(
-            F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCUMENTS).collect()
+        sample = hashed_sample(source, F.col("doc_id"), DICTIONARY_DOCUMENTS, source.count()).filter(
+            "text IS NOT NULL").select(F.substring("text", 1, 20_000).alias("text")).collect()
         dictionary = train_dictionary(tokenizer(path).encode_batch([r["text"] for r in sample]))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
