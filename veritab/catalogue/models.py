@@ -227,3 +227,61 @@ def cluster_plot_data(spark, folder):
     points, _ = auto_cluster(
         table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
     return points
+
+
+# --- facts that a fit must satisfy, whatever its numbers ------------------------
+
+
+@query("tested_rows", (
+    "SELECT algorithm, quality AS label, count(*) AS tested, 0 AS unscored, 0 AS accuracy_gap FROM "
+    f"{split_sql('labels', 'quality', 'doc_id')} s, (VALUES ('logistic_regression'), ('random_forest')) a(algorithm) "
+    "WHERE is_test GROUP BY algorithm, quality"
+))
+def tested_rows(spark, folder):
+    """Test rows by class, predictions out of range, and the accuracy of the report against that of the predictions."""
+    df, parts = document_features(spark, folder), []
+    for algorithm in ("logistic_regression", "random_forest"):
+        done = train_supervised(df, algorithm, "quality", "doc_id", parameters={"n_estimators": 20})
+        right = done.predictions.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+        gap = int(abs(right - done.metrics.first()["accuracy"]) > 1e-9)
+        bad = ~F.col("prediction").isin(0.0, 1.0) | F.col("score").isNull() | ~F.col("score").between(0, 1)
+        parts.append(done.predictions.groupBy(F.col("label").cast("bigint").alias("label")).agg(
+            F.count(F.lit(1)).alias("tested"), F.count_if(bad).alias("unscored")).select(
+            F.lit(algorithm).alias("algorithm"), "label", "tested", "unscored", F.lit(gap).alias("accuracy_gap")))
+    return as_bigint(parts[0].unionAll(parts[1]), ["accuracy_gap"])
+
+
+@query("forest_importances", "SELECT 5 AS features, 0 AS negative, 1.0::DOUBLE AS total")
+def forest_importances(spark, folder):
+    found = train_supervised(document_features(spark, folder), "random_forest", "quality", "doc_id",
+                             parameters={"n_estimators": 20}).importances
+    row = (len(found), sum(v < 0 for v in found), round(float(sum(found)), 6))
+    return spark.createDataFrame([row], "features int, negative int, total double")
+
+
+@query("kmeans_facts", (
+    "SELECT count(*) AS n_rows, 10 AS n_clusters, 0 AS not_nearest, 0 AS moved_centers FROM embeddings"))
+def kmeans_facts(spark, folder):
+    """Rows that lie nearer to another centre, and centres that are not the mean of their members."""
+    vectors = table(spark, folder, "embeddings")
+    done = train_unsupervised(vectors, "kmeans", "vec_id", ["embedding"], {"n_clusters": 10, "silhouette": "squared"})
+    centers = spark.createDataFrame(list(enumerate(done.centers)), "label int, center array<double>")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).join(
+        done.predictions.select(F.col("key").alias("vec_id"), "label"), "vec_id")
+    nearest = F.lit([c for center in done.centers for c in center])
+    width = len(done.centers[0])
+
+    def gap(i: int):
+        center = F.slice(nearest, i * width + 1, width)
+        return F.aggregate(F.zip_with("x", center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    gaps = F.array(*[gap(i) for i in range(len(done.centers))])
+    judged = rows.withColumn("gaps", gaps).select(
+        "label", "x", (F.get("gaps", F.col("label").cast("int")) > F.array_min("gaps") * (1 + 1e-9)).alias("far"))
+    means = judged.select("label", F.posexplode("x").alias("place", "value")).groupBy("label", "place").agg(
+        F.avg("value").alias("mean"))
+    moved = means.join(F.broadcast(centers), "label").filter(
+        F.abs(F.col("mean") - F.get("center", F.col("place"))) > 0.01).select("label").distinct().count()
+    return judged.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("label").alias("n_clusters"),
+        F.count_if("far").alias("not_nearest"), F.lit(moved).alias("moved_centers"))
