@@ -65,6 +65,8 @@ def test_families_common_phrases_and_copies(spark):
     assert got(spark, rows) == brute(rows)
     # A table too small for all tokens leaves them rare, and so do shared slots; neither changes the result.
     assert got(spark, rows, most=50) == brute(rows)
+    # Nearly all shared tokens in pairs or triples.
+    assert got(spark, rows, frequency=(2, 5)) == brute(rows)
 
 
 @pytest.mark.parametrize("shingle,percent", [(1, 80), (2, 60), (4, 100), (3, 50)])

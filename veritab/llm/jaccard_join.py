@@ -43,13 +43,17 @@ from veritab.llm.words import mix, small_batches
 
 FREQUENT_TOKENS = 1 << 23
 RANGE_TOKENS = 1 << 22
-# Frequency classes by the bit length of the number of documents: up to 31 alone, up to 32767 by two, others by three.
-ALONE, PAIRS = 5, 15
+# Frequency classes by the bit length of the number of documents: up to 4095 alone, as one block of members holds them,
+# up to 262143 by two, others by three.
+CLASSES = (12, 18)
 # Sets below this size index all tokens alone; larger ones deal a class into an eighth as many parts.
 SMALL_SET, PART = 64, 8
 
 
-def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85, most: int = FREQUENT_TOKENS) -> DataFrame:
+def jaccard_components(
+    documents: DataFrame, shingle: int = 4, percent: int = 85, most: int = FREQUENT_TOKENS,
+    frequency: tuple[int, int] = CLASSES,
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``documents(doc_id, text)``.
 
     A text's set holds its distinct runs of ``shingle`` words (runs of bytes other than
@@ -76,7 +80,8 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, percent: int = 85
     ranges = max(1, math.ceil(total / RANGE_TOKENS))
     classes = _token_classes(scratch, chosen, shingle, ranges, most)
     members = scratch.write(chosen.mapInArrow(
-        partial(_signatures, shingle=shingle, percent=percent, classes=classes), "key long, rep long"))
+        partial(_signatures, shingle=shingle, percent=percent, classes=classes, frequency=frequency),
+        "key long, rep long"))
     classes.destroy()
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = scratch.write(members.join(shared, "key").distinct())
@@ -217,19 +222,22 @@ def _frequent_slots(group: pa.Table) -> pa.Table:
 
 
 def _signatures(
-    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, classes: Broadcast,
+    batches: Iterator[pa.RecordBatch], shingle: int, percent: int, classes: Broadcast, frequency: tuple[int, int],
 ) -> Iterator[pa.RecordBatch]:
     known = classes.value
     for ids, sets in _chosen_sets(batches, shingle):
         levels = known.of(np.concatenate(sets))
         ends = np.cumsum([len(s) for s in sets])
-        made = [combinations(s, levels[end - len(s):end], percent, known.complete) for s, end in zip(sets, ends)]
+        made = [combinations(s, levels[end - len(s):end], percent, known.complete, frequency)
+                for s, end in zip(sets, ends)]
         yield pa.record_batch({
             "key": pa.array(np.concatenate(made).view(np.int64)),
             "rep": pa.array(np.repeat(np.array(ids, np.int64), [len(m) for m in made]))})
 
 
-def combinations(tokens: np.ndarray, levels: np.ndarray, percent: int, complete: bool) -> np.ndarray:
+def combinations(
+    tokens: np.ndarray, levels: np.ndarray, percent: int, complete: bool, frequency: tuple[int, int] = CLASSES,
+) -> np.ndarray:
     """The indexed combinations of one set, of every size class in which it can meet an alike set.
 
     ``levels`` are bit lengths of the tokens' numbers of documents, 0 for those that
@@ -243,16 +251,20 @@ def combinations(tokens: np.ndarray, levels: np.ndarray, percent: int, complete:
     order = np.lexsort((tokens, levels))
     tokens, levels = tokens[order], levels[order]
     base = 1 << (n.bit_length() - 1) if n >= SMALL_SET else 0
-    made = [_indexed(tokens, levels, differing, base, complete)]
+    made = [_indexed(tokens, levels, differing, base, complete, frequency)]
     while base and least < base:
         base = base // 2 if base > SMALL_SET else 0
-        made.append(_indexed(tokens, levels, differing, base, complete))
+        made.append(_indexed(tokens, levels, differing, base, complete, frequency))
     return np.unique(np.concatenate(made))
 
 
-def _indexed(tokens: np.ndarray, levels: np.ndarray, differing: int, base: int, complete: bool) -> np.ndarray:
+def _indexed(
+    tokens: np.ndarray, levels: np.ndarray, differing: int, base: int, complete: bool, frequency: tuple[int, int],
+) -> np.ndarray:
     """Single tokens and combinations of the shortest prefix that more than ``differing`` lost tokens are needed to break."""
-    size = 1 + (levels > ALONE).astype(np.int64) + (levels > PAIRS) if base else np.ones(len(tokens), np.int64)
+    size = np.ones(len(tokens), np.int64)
+    if base:
+        size += (levels > frequency[0]).astype(np.int64) + (levels > frequency[1])
     counts = size == 1
     joined = np.flatnonzero(size > 1)
     part = size[joined] * base + (mix(tokens[joined] ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(
