@@ -336,6 +336,32 @@ def test_licenses(spark, edge):
     assert got[50, "MIT"]["n_missing"] == 1 and got[52, "Apache-2.0"]["n_missing"] == 0
 
 
+def test_compression_decides_licenses(monkeypatch):
+    """Templates are chosen by what they save, not by the count of their words; without savings nothing is confirmed."""
+    short = "Permission granted to use this work"
+    wordings = {"short": short, "long": short + " freely without any further restriction"}
+    text = short + " freely without any other restriction"
+    assert [h[2] for h in licenses.LicenseScanner(wordings).scan(text)] == ["long"]
+    monkeypatch.setattr(licenses.LicenseScanner, "held", lambda *_: 0.0)
+    assert licenses.LicenseScanner(wordings).scan(text) == []
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_changed_wordings_pass_the_compression(name):
+    """A wording with every fifth word replaced or missing is still found between long random words."""
+    scanner, chance = licenses.LicenseScanner({name: licenses.TEMPLATES[name]}), random.Random(7)
+    words = scanner.words[name]
+    for at in range(0, len(words), len(words) // 12 + 1):
+        left = [w for i, w in enumerate(words) if (i - at) % len(words) >= len(words) // 5]
+        around = ["".join(chance.choices("abdefgjkmqvxz", k=chance.randint(3, 12))) for _ in range(240)]
+        block = [*around[:120], *left, *around[120:]]
+        direct: set = set()
+        scanner._search(block, 0, len(block), name, set(), direct)
+        marked = any(licenses._MARKER.search(w) for w in left)
+        if marked and direct:
+            assert name in {h[2] for h in scanner.scan(" ".join(block))}
+
+
 @pytest.mark.parametrize("width, prefix", [(72, ""), (76, "# "), (80, " * ")])
 @pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause"])
 def test_wrapped_licenses(name, width, prefix):
