@@ -7,6 +7,7 @@ from veritab.ml import knn, metrics, models
 from veritab.ml.dbscan import dbscan
 from veritab.ml.split import stratified_split
 from veritab.operators import charts
+from veritab.ml.vectors import distance_sums, distances_to
 
 
 def points(spark, x, labels=None):
@@ -255,3 +256,15 @@ def test_silhouette_opens_near_clusters_only(spark):
     # All of 480 rows against 12 clusters would be 5760 pairs.
     assert 2 * 480 <= opened.count() < 3 * 480
     assert opened.filter("cluster = opened").count() == 480
+
+
+@pytest.mark.parametrize("width", [2, 64])
+def test_distance_sums_keep_their_digits(width):
+    """Sums by matrix products equal sums by difference, also far from the origin and for copies."""
+    chance = np.random.default_rng(5)
+    ones, points = chance.normal(size=(2, 300, width)) + 1e4
+    points[:40] = ones[:40]
+    points[40:60] = ones[:20] + 1e-7
+    wanted = [distances_to(points, one).sum() for one in ones]
+    assert np.allclose(distance_sums(ones, points, 7, 50), wanted, rtol=1e-9, atol=0)
+    assert distance_sums(np.repeat(ones[:1], 9, 0), np.repeat(ones[:1], 9, 0)).max() == 0
