@@ -1,13 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from veritab.ml import knn, metrics, models
 from veritab.ml.dbscan import dbscan
 from veritab.ml.split import stratified_split
 from veritab.operators import charts
-from veritab.ml.vectors import distance_sums, distances_to
+from veritab.ml.vectors import TASK_VALUES, distance_sums, distances_to, spread
 
 
 def points(spark, x, labels=None):
@@ -268,3 +269,27 @@ def test_distance_sums_keep_their_digits(width):
     wanted = [distances_to(points, one).sum() for one in ones]
     assert np.allclose(distance_sums(ones, points, 7, 50), wanted, rtol=1e-9, atol=0)
     assert distance_sums(np.repeat(ones[:1], 9, 0), np.repeat(ones[:1], 9, 0)).max() == 0
+
+
+def one_task(spark, rows, width):
+    return spark.range(0, rows, 1, 1).select(
+        F.col("id").alias("key"), F.array(*[F.rand(i) for i in range(width)]).alias("x"),
+        (F.col("id") % 2).cast("double").alias("label"))
+
+
+def test_spread_bounds_tasks(spark):
+    small, large = one_task(spark, 500, 2), one_task(spark, 40_000, 2)
+    assert spread(small, 500, 2).rdd.getNumPartitions() == 1
+    assert spread(large, 40_000, 2).rdd.getNumPartitions() == min(4, spark.sparkContext.defaultParallelism)
+    assert spread(small, 10 * TASK_VALUES, 2).rdd.getNumPartitions() == 20
+    assert spread(large, 40_000, 2).count() == 40_000
+
+
+def test_kmeans_rows_are_dealt(spark, monkeypatch):
+    """A table that one task reads is fitted by several, seeds side by side, and the best seed is returned."""
+    seen, fit = [], models.KMeans.fit
+    monkeypatch.setattr(models.KMeans, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    rows = one_task(spark, 40_000, 2).select(array_to_vector("x").alias("features"))
+    best = models.fit_kmeans(rows, 3, restarts=3, max_iter=5)
+    assert len(seen) == 3 and min(seen) > 1
+    assert len(best.clusterCenters()) == 3
