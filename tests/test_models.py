@@ -293,3 +293,13 @@ def test_kmeans_rows_are_dealt(spark, monkeypatch):
     best = models.fit_kmeans(rows, 3, restarts=3, max_iter=5)
     assert len(seen) == 3 and min(seen) > 1
     assert len(best.clusterCenters()) == 3
+
+
+@pytest.mark.parametrize("algorithm, fitted", [("random_forest", "RandomForestClassifier")])
+def test_training_rows_are_dealt(spark, monkeypatch, algorithm, fitted):
+    seen, kind = [], getattr(models, fitted)
+    fit = kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    models.train_supervised(one_task(spark, 40_000, 2), algorithm, "label", "key", ["x"], parameters={
+        "n_estimators": 1, "max_depth": 2, "max_iter": 1, "n_components": 256})
+    assert seen and min(seen) > 1
