@@ -295,7 +295,7 @@ def test_kmeans_rows_are_dealt(spark, monkeypatch):
     assert len(best.clusterCenters()) == 3
 
 
-@pytest.mark.parametrize("algorithm, fitted", [("random_forest", "RandomForestClassifier")])
+@pytest.mark.parametrize("algorithm, fitted", [("random_forest", "RandomForestClassifier"), ("svm", "LinearSVC")])
 def test_training_rows_are_dealt(spark, monkeypatch, algorithm, fitted):
     seen, kind = [], getattr(models, fitted)
     fit = kind.fit
