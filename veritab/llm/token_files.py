@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -46,8 +47,8 @@ LONGEST_CACHED = 48
 
 # The word pattern of the tokenizer's file, and the same for lower-case printable Western letters and signs.
 _PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SIMPLE = re.compile("[ \n!-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \n]+")
 
 
 # Byte-level vocabularies write bytes as printable letters: printable ones as they are, the others from U+0100 on.
@@ -65,10 +66,11 @@ def pack_ids(*ids: int) -> bytes:
 
 
 class CachedTokenizer:
-    """Ids of whole texts from the tokenizers library, each distinct word encoded once per worker.
+    """Ids of whole texts from the tokenizers library, each distinct part of a text encoded once per worker.
 
     Only for tokenizers that drop white space and never join across it: texts are
-    cut at spaces and line feeds, which leaves the ids as they are.
+    cut at spaces and line feeds, which leaves the ids as they are. A text of plain
+    Western letters and signs is cut by the tokenizer's own word pattern at once.
     """
 
     def __init__(self, path: str):
@@ -83,50 +85,51 @@ class CachedTokenizer:
                 raise ValueError("this tokenizer does not drop white space: texts cannot be cut")
         with open(path, encoding="utf-8") as file:
             self.cuts = _PATTERN in json.dumps(json.load(file)["pre_tokenizer"])
-        self.parts: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words; a word of plain Western letters and signs is put together from its parts."""
-        simple = _SIMPLE.fullmatch
-        parts = {w: _PARTS.findall(w.lower()) if self.cuts and simple(w) and "<|" not in w else [w] for w in words}
-        wanted: set[str] = set()
-        wanted.update(*parts.values())
-        missing = sorted(wanted.difference(self.parts))
-        plain = [p for p in missing if self.cuts and simple(p) and "<|" not in p]
+    def _simple(self, text: str) -> bool:
+        return self.cuts and "<|" not in text and _SIMPLE.fullmatch(text) is not None
+
+    def _cut(self, text: str) -> list[str]:
+        """The parts of a text that are encoded apart: matches of the word pattern, or whole words where that is not plain."""
+        if self._simple(text):
+            return _PARTS.findall(text.lower())
+        parts: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            if self._simple(word):
+                parts += _PARTS.findall(word.lower())
+            else:
+                parts.append(word)
+        return parts
+
+    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
+        plain = [p for p in parts if self._simple(p)]
+        other = [p for p in parts if not self._simple(p)] if len(plain) < len(parts) else []
         tokenize = self.library.model.tokenize
-        self.parts.update((p, pack_ids(*[t.id for t in tokenize(_byte_letters(p))])) for p in plain)
-        other = sorted(set(missing).difference(plain))
-        self.parts.update((p, pack_ids(*i)) for p, i in zip(other, self._encode(other)))
-        known = self.parts
-        fresh = {w: b"".join([known[p] for p in own]) for w, own in parts.items()}
-        if len(known) > CACHE_ENTRIES:
-            self.parts = {}
-        return fresh
+        ids = [[t.id for t in tokenize(p if p.isascii() else _byte_letters(p))] for p in plain] + self._encode(other)
+        packed = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, ids))]
+        return {p: packed[a:b] for p, a, b in zip(plain + other, [0, *ends], ends)}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        missing: set[str] = set()
-        for words in rows:
-            missing.update(words)
+        rows = [self._cut(t) for t in texts]
         young, old = self.young, self.old
-        missing.difference_update(young)
+        missing = set().union(*rows).difference(young)
         known = missing.intersection(old)
-        young.update((w, old[w]) for w in known)
-        new = sorted(missing - known)
-        fresh = self._fresh(new)
-        long = {w: fresh.pop(w) for w in new if len(w) > LONGEST_CACHED}
+        young.update((p, old[p]) for p in known)
+        fresh = self._fresh(list(missing - known))
+        long = {p: fresh.pop(p) for p in list(fresh) if len(p) > LONGEST_CACHED}
         young.update(fresh)
         out = []
-        for words in rows:
+        for parts in rows:
             if long:
-                joined = b"".join([young[w] if w in young else long[w] for w in words])
+                joined = b"".join([young[p] if p in young else long[p] for p in parts])
             else:
-                joined = b"".join(map(young.__getitem__, words))
+                joined = b"".join(map(young.__getitem__, parts))
             out.append(np.frombuffer(joined, "<u4"))
         if len(young) > CACHE_ENTRIES:
             self.old, self.young = young, {}
