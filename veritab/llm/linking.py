@@ -9,11 +9,12 @@ members still lie in several components, and only members outside a key's
 largest component ask. A task compares two blocks of members by their parity
 bits: each set sets or clears bits of a bitmap by its elements, and two bitmaps
 differ in no more places than the sets have elements of their own, so a pair
-whose bitmaps differ too much is no link. Of the pairs that may be links a
-task offers a forest, the closest first, so that it offers fewer pairs than it
-has members. Offered pairs are compared on the full sets and the rounds go on
-until no key offers a pair that has not been refused; each round offers more
-forests, so that a family just below the threshold cannot take many rounds.
+whose bitmaps differ too much is no link. A task offers the pairs that may
+be links if they are few for its members, else some forests of them, the closest
+first, so that what it offers grows with its members only. Offered pairs are
+compared on the full sets and the rounds end when every task has offered all its
+pairs; each round offers more forests, so that a family just below the threshold
+cannot take many rounds.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from veritab.llm.words import grouped, mix
 
 BLOCK_MEMBERS = 4096
 FIRST_PAIRS = 3
+FIRST_FORESTS = 16
 
 
 def parity_bits(elements: np.ndarray) -> bytes:
@@ -77,14 +79,16 @@ def links(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     possible = _possible(picked, sets, percent)
     judged = scratch.write(_judged(scratch.write(likely(possible) if likely else possible), sets, percent))
-    forests = 1
+    forests = FIRST_FORESTS
     while True:
         roots = components(scratch, judged.filter("linked").select("a", "b"))
         pairs = scratch.write(_offered(scratch, members, roots, judged, sets, percent, forests))
-        if pairs.isEmpty():
+        offered, more = pairs.agg(F.count(F.lit(1)), F.max("more")).first()
+        if offered:
+            judged = scratch.write(judged.unionByName(_judged(pairs.select("a", "b"), sets, percent)))
+        if not more:
             return judged.filter("linked").select("a", "b")
-        judged = scratch.write(judged.unionByName(_judged(pairs, sets, percent)))
-        forests *= 4
+        forests *= 16
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -171,7 +175,11 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _offered(
     scratch: Scratch, members: DataFrame, roots: DataFrame, judged: DataFrame, sets: DataFrame, percent: int, forests: int,
 ) -> DataFrame:
-    """Pairs of different components that may be links and have not been refused, forests of them for each two blocks."""
+    """``a, b, more``: pairs of different components that may be links and have not been refused.
+
+    Two blocks with more than ``forests`` such pairs a member offer that many forests of
+    them and mark their pairs with ``more``; others offer all.
+    """
     placed = scratch.write(members.join(roots, F.col("rep") == F.col("node"), "left").select(
         "key", "rep", "home", F.coalesce("root", "rep").alias("root")))
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
@@ -194,29 +202,32 @@ def _offered(
         "pool", F.explode(F.sequence(F.lit(0), pools - 1))).withColumn("asks", F.lit(True)).select(*fields)
     dealt = pool.unionByName(asking).join(sets.select("rep", "n", "bits"), "rep").join(refused, "rep", "left")
     return dealt.repartition("key", "asker", "pool").sortWithinPartitions("key", "asker", "pool").mapInArrow(
-        partial(_forests, percent=percent, forests=forests), "a long, b long").distinct()
+        partial(_forests, percent=percent, forests=forests), "a long, b long, more boolean").groupBy("a", "b").agg(
+        F.max("more").alias("more"))
 
 
 def _forests(batches: Iterator[pa.RecordBatch], percent: int, forests: int) -> Iterator[pa.RecordBatch]:
     for group in grouped(batches, ["key", "asker", "pool"]):
         edges = _edges(group.combine_chunks(), percent)
-        left, right = [], []
+        picked = []
+        if len(edges) <= forests * group.num_rows:
+            picked, edges = edges, []
         for _ in range(forests):
             tree, rest = {}, []
             for edge in edges:
-                _, a, b, *ends = edge
-                x, y = (_top(tree, r) for r in ends)
+                x, y = (_top(tree, r) for r in edge[3:])
                 if x == y:
                     rest.append(edge)
                     continue
                 tree[max(x, y)] = min(x, y)
-                left.append(a)
-                right.append(b)
+                picked.append(edge)
             edges = rest
             if not edges:
                 break
-        if left:
-            yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        if picked:
+            yield pa.record_batch({
+                "a": pa.array([e[1] for e in picked], pa.int64()), "b": pa.array([e[2] for e in picked], pa.int64()),
+                "more": pa.array([bool(edges)] * len(picked))})
 
 
 def _top(tree: dict[int, int], x: int) -> int:
