@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 BATCH_BYTES = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -134,7 +134,7 @@ def _combine(parts: list[np.ndarray]) -> np.ndarray:
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES
                   ) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``size`` bytes of text, or one row."""
+    """Cut batches so that each holds about ``size`` bytes of text, or one row; free memory is given back after the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -145,6 +145,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", size: i
             stop = min(stop, batch.num_rows)
             yield batch.slice(row, stop - row)
             row = stop
+    # Workers wait for their next task beside the other processes of an executor; what they no longer need goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
