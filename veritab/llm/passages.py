@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.base import Scratch, query, table
-from veritab.llm.words import distinct, grouped, mix, shingle_hashes, small_batches, text_buffers, word_hashes, word_spans
+from veritab.llm.words import distinct, grouped, mix, shingle_hashes, shingles_at, small_batches, text_buffers, whole_groups
+from veritab.llm.words import word_hashes, word_spans
 
 SEED = 6
 WINDOW = 12
@@ -44,34 +45,56 @@ MAX_GAP_CELLS = 1 << 20
 BATCH_BYTES = 2 << 20
 
 
+def window_minima(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Place of the smallest value, the first of equal ones, in every window of ``window`` values."""
+    low, at, size = grams, np.arange(len(grams)), 1
+    while size < window:
+        step = min(size, window - size)
+        if len(low) <= step:
+            return at[:0]
+        at = np.where(low[step:] < low[:-step], at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
+        size += step
+    return at
+
+
 def winnowed(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the smallest value in every window of ``window`` values."""
     if len(grams) <= window:
         return np.array([int(grams.argmin())] if len(grams) else [], dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return distinct(views.argmin(axis=1) + np.arange(len(views)))
+    return distinct(window_minima(grams, window))
 
 
 def _contexts(words: np.ndarray, at: np.ndarray, doc_id: int) -> np.ndarray:
     """Hashes of the words up to a window's length around seeds; where the text ends before, they equal no other's."""
     around = WINDOW - 1
-    whole = shingle_hashes(words, SEED + 2 * around) if len(words) >= SEED + 2 * around else words[:0]
-    inside = (at >= around) & (at - around < len(whole))
+    inside = (at >= around) & (at + SEED + around <= len(words))
     found = mix(np.full(len(at), doc_id, np.int64).view(np.uint64) + at.astype(np.uint64))
-    found[inside] = whole[at[inside] - around]
+    found[inside] = shingles_at(words, at[inside] - around, SEED + 2 * around)
     return found.view(np.int64).astype(np.int32)
 
 
+def _batch_windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``SEED`` words of all texts of a batch, also across texts, and the minima of their windows."""
+    grams = shingle_hashes(hashes, SEED) if len(hashes) >= SEED else hashes[:0]
+    return grams, window_minima(grams)
+
+
 def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, size=BATCH_BYTES):
         places, hashes = word_hashes(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         seeds, owners, where, contexts = [], [], [], []
+        batch_grams, minima = _batch_windows(hashes)
         for i, (a, b) in enumerate(zip(places[:-1], places[1:])):
             if b - a < least:
                 continue
-            grams = shingle_hashes(hashes[a:b], SEED)
-            at = winnowed(grams)
+            if b - a < SEED + WINDOW:
+                grams = shingle_hashes(hashes[a:b], SEED)
+                at = winnowed(grams)
+            else:
+                grams, at = batch_grams[a:b - SEED + 1], minima[a:b - SEED - WINDOW + 2] - a
+                at = at[np.append(True, at[1:] != at[:-1])]
             seeds.append(grams[at])
             where.append(at)
             contexts.append(_contexts(hashes[a:b], at, ids[i]))
@@ -89,10 +112,11 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         places, hashes = word_hashes(batch.column("text"))
         ids, repeated = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("repeated")
         runs, owners, where = [], [], []
+        batch_grams, minima = _batch_windows(hashes)
         for i, (a, b) in enumerate(zip(places[:-1], places[1:])):
             if b - a < least:
                 continue
-            grams = shingle_hashes(hashes[a:b], SEED)
+            grams = batch_grams[a:b - SEED + 1] if b - a >= SEED else shingle_hashes(hashes[a:b], SEED)
             place, source, source_place, context = (
                 repeated[i].values.field(f).to_numpy(zero_copy_only=False)
                 for f in ("place", "source", "source_place", "source_context"))
@@ -102,8 +126,7 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             alike[place] = _contexts(hashes[a:b], place.astype(np.int64), ids[i]) == context
             at = np.arange(b - a - least + 1)
             if inner:
-                views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-                seed = views.argmin(axis=1) + np.arange(len(views))
+                seed = minima[a:b - SEED - WINDOW + 2] - a
                 count = np.zeros(len(seed) + 1, np.int64)
                 np.cumsum(single[seed], out=count[1:])
                 wanted = count[inner:inner + len(at)] == count[:len(at)]
@@ -116,7 +139,7 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
                         other[inner:inner + len(at)] != other[:len(at)])
                 at = at[wanted]
             if len(at):
-                runs.append(shingle_hashes(hashes[a:b], least)[at])
+                runs.append(shingles_at(hashes[a:b], at, least))
                 where.append(at)
                 owners.append(np.full(len(at), ids[i]))
         if runs:
@@ -316,9 +339,41 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else len(a)
 
 
+def _one_diagonal(a: np.ndarray, b: np.ndarray, xs: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words along a chain whose matches all lie ``shift`` words apart, as :func:`aligned_passages` pairs them."""
+    begin = int(xs[0]) - min(int(xs[0]), int(xs[0]) + shift, MARGIN)
+    end = int(xs[-1]) + SEED
+    stop = end + min(len(a) - end, len(b) - end - shift, MARGIN)
+    same = a[begin:stop] == b[begin + shift:stop + shift]
+    at = xs - begin
+    same[(at[:, None] + np.arange(SEED)).ravel()] = True
+    left = np.flatnonzero(same) + begin
+    right = left + shift
+    if len(left) == len(same):
+        return left, right
+    wrong = np.zeros(len(same) + 1, np.int64)
+    np.cumsum(~same, out=wrong[1:])
+    open_at, close_at = at[:-1] + SEED, at[1:]
+    gaps = np.flatnonzero(open_at < close_at)
+    for g in gaps[wrong[close_at[gaps]] > wrong[open_at[gaps]] + 1].tolist():
+        other = np.flatnonzero(~same[open_at[g]:close_at[g]]) + int(open_at[g])
+        low, high = int(other[0]) + begin, int(other[-1]) + 1 + begin
+        if 2 * (high - low - len(other)) >= high - low:
+            continue
+        i, j = _gap(a[low:high], b[low + shift:high + shift])
+        before, behind = np.searchsorted(left, low), np.searchsorted(left, high)
+        left = np.concatenate([left[:before], np.array(i, np.int64) + low, left[behind:]])
+        right = np.concatenate([right[:before], np.array(j, np.int64) + low + shift, right[behind:]])
+    return left, right
+
+
 def aligned_passages(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int], least: int, percent: int
                      ) -> list[tuple[int, int, int, int, int]]:
     """``(first, last, first in b, last in b, equal words)`` of the passages along one chain, places from 0."""
+    x_all = np.asarray(xs, dtype=np.int64)
+    shifts = np.asarray(ys, dtype=np.int64) - x_all
+    if len(x_all) and (shifts == shifts[0]).all() and (x_all[1:] > x_all[:-1]).all():
+        return _passages(*_one_diagonal(a, b, x_all, int(shifts[0])), least, percent)
     left: list[int] = []
     right: list[int] = []
     x_end = y_end = None
@@ -355,10 +410,15 @@ def aligned_passages(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int],
     same = np.flatnonzero(a[x_end:x_end + reach] == b[y_end:y_end + reach])
     left += (same + x_end).tolist()
     right += (same + y_end).tolist()
-    # Equal words score, unequal or skipped ones cost as much as the wanted share allows. Runs without a gap score as a whole.
+    return _passages(np.array(left, np.int64), np.array(right, np.int64), least, percent)
+
+
+def _passages(left: np.ndarray, right: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """The passages among paired places: equal words score, unequal or skipped ones cost as much as the share allows."""
     cost = percent / (100 - percent)
-    if not left:
+    if not len(left):
         return []
+    # Runs without a gap score as a whole.
     steps = np.maximum(np.diff(left), np.diff(right)) - 1
     cuts = np.flatnonzero(steps)
     firsts, lasts = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(left) - 1]
@@ -377,27 +437,42 @@ def aligned_passages(a: np.ndarray, b: np.ndarray, xs: list[int], ys: list[int],
         first, last = firsts[begin], lasts[top_at]
         n, m = left[last] - left[first] + 1, right[last] - right[first] + 1
         if n >= least and (last - first + 1) * 100 >= percent * max(n, m):
-            found.append((left[first], left[last], right[first], right[last], last - first + 1))
+            found.append((int(left[first]), int(left[last]), int(right[first]), int(right[last]), last - first + 1))
         # What lies behind the best end is searched again: it may hold further passages.
         begin = top_at + 1
     return found
 
 
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where rows of 32-bit words begin and end, and all words."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return (ends - ends[0]) // 4, np.frombuffer(raw.tobytes(), np.uint32)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where rows of a list column begin and end, NULL as empty, and all values."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.append(0, np.cumsum(counts, dtype=np.int64)), column.flatten().to_numpy().astype(np.int64)
+
+
 def _align(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
     fields = ["doc_id", "source", "first_word", "last_word", "source_first_word", "source_last_word", "n_equal"]
     rows: list[tuple] = []
-    for group in grouped(batches, ["doc_id", "source", "chain"]):
-        sides = []
-        for side in (0, 1):
-            part = group.filter(pc.equal(group["side"], side)).sort_by("block")
-            sides.append((part["block"][0].as_py() * BLOCK,
-                          np.frombuffer(b"".join(part["words"].to_pylist()), dtype=np.uint32)))
-        anchors = group.filter(pc.is_valid(group["xs"]))
-        (a0, a), (b0, b) = sides
-        doc, source = group["doc_id"][0].as_py(), group["source"][0].as_py()
-        xs, ys = ([v - low for v in anchors[n][0].as_py()] for n, low in (("xs", a0), ("ys", b0)))
-        for p in aligned_passages(a, b, xs, ys, least, percent):
-            rows.append((doc, source, p[0] + a0, p[1] + a0, p[2] + b0, p[3] + b0, p[4]))
+    for batch, cuts in whole_groups(batches, ["doc_id", "source", "chain"]):
+        docs, sources, sides, blocks = (batch.column(c).to_numpy() for c in ("doc_id", "source", "side", "block"))
+        ends, data = _binary(batch.column("words"))
+        anchors = [_lists(batch.column(c)) for c in ("xs", "ys")]
+        for first, stop in zip(cuts, cuts[1:]):
+            # Rows come by side and block, the anchors with the first one.
+            turn = first + int(np.searchsorted(sides[first:stop], 1))
+            a, b = data[ends[first]:ends[turn]], data[ends[turn]:ends[stop]]
+            a0, b0 = int(blocks[first]) * BLOCK, int(blocks[turn]) * BLOCK
+            xs, ys = (values[at[first]:at[first + 1]] - low for (at, values), low in zip(anchors, (a0, b0)))
+            for p in aligned_passages(a, b, xs.tolist(), ys.tolist(), least, percent):
+                rows.append((int(docs[first]), int(sources[first]), p[0] + a0, p[1] + a0, p[2] + b0, p[3] + b0, p[4]))
         if len(rows) >= 5000:
             yield _rows(rows, fields)
             rows = []
@@ -482,7 +557,7 @@ def _aligned(scratch: Scratch, source: DataFrame, matches: DataFrame, least: int
     return (
         wanted.join(blocks, ["owner", "block"])
         .select("doc_id", "source", "chain", "side", "block", "words", "xs", "ys")
-        .repartition("doc_id", "source", "chain").sortWithinPartitions("doc_id", "source", "chain")
+        .repartition("doc_id", "source", "chain").sortWithinPartitions("doc_id", "source", "chain", "side", "block")
         .mapInArrow(partial(_align, least=least, percent=percent), FOUND))
 
 

@@ -124,6 +124,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(_combine([words[i:n - size + 1 + i] for i in range(size)]) + np.uint64(size))
 
 
+def shingles_at(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of :func:`shingle_hashes` at some places only."""
+    return mix(_combine([words[at + i] for i in range(size)]) + np.uint64(size))
+
+
 def _combine(parts: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(parts[0]), np.uint64)
     for part in parts:
@@ -149,6 +154,39 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", size: i
     pa.default_memory_pool().release_unused()
 
 
+def _changes(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """The rows whose keys differ from those of the row before."""
+    changes = np.zeros(batch.num_rows - 1, dtype=bool)
+    for k in keys:
+        c = batch.column(k).to_numpy(zero_copy_only=False)
+        changes |= c[1:] != c[:-1]
+    return (np.flatnonzero(changes) + 1).tolist()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of whole groups of consecutive rows with equal keys, and the rows where groups begin, with the end."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[int]]:
+        batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return batch, [0, *_changes(batch, keys), batch.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield joined(held)
+            held = []
+        cuts = _changes(batch, keys)
+        if cuts:
+            yield joined([*held, batch.slice(0, cuts[-1])])
+            held = [batch.slice(cuts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield joined(held)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys as one table, also across batches."""
     held: list[pa.RecordBatch] = []
