@@ -26,3 +26,22 @@ def test_hashes_do_not_depend_on_segments(texts, monkeypatch):
     want = words.word_hashes(few)
     monkeypatch.setattr(words, "SEGMENT_BYTES", 1 << 12)
     assert all(np.array_equal(a, b) for a, b in zip(words.word_hashes(few), want))
+
+
+def test_long_hashes_are_made_once_for_a_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(passages, "shingles_at", lambda *args: calls.append(args) or words.shingles_at(*args))
+    batch = pa.record_batch({"doc_id": pa.array(range(50), pa.int64()),
+                             "text": [" ".join(f"d{d}w{i}" for i in range(60 + d)) for d in range(50)]})
+    list(passages._seeds(iter([batch]), 50))
+    assert len(calls) == 1
+
+
+def test_groups_that_span_batches_stay_whole():
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5, 6]
+    batch = pa.record_batch({"key": pa.array(keys, pa.int64()), "at": pa.array(range(len(keys)), pa.int64())})
+    for size in (1, 2, 3, 5, 12):
+        found = []
+        for part, cuts in words.whole_groups((batch.slice(i, size) for i in range(0, len(keys), size)), ["key"]):
+            found += [part.column("at")[a:b].to_pylist() for a, b in zip(cuts, cuts[1:])]
+        assert found == [[0, 1], [2], [3, 4, 5, 6, 7], [8], [9, 10], [11]]

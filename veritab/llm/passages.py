@@ -65,12 +65,16 @@ def winnowed(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return distinct(window_minima(grams, window))
 
 
-def _contexts(words: np.ndarray, at: np.ndarray, doc_id: int) -> np.ndarray:
-    """Hashes of the words up to a window's length around seeds; where the text ends before, they equal no other's."""
+def _contexts(words: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Hashes of the words up to a window's length around seeds; where the text ends before, they equal no other's.
+
+    For each seed ``first`` and ``end`` bound its text in ``words``; ``at`` is its place in the text.
+    """
     around = WINDOW - 1
-    inside = (at >= around) & (at + SEED + around <= len(words))
-    found = mix(np.full(len(at), doc_id, np.int64).view(np.uint64) + at.astype(np.uint64))
-    found[inside] = shingles_at(words, at[inside] - around, SEED + 2 * around)
+    place = first + at
+    inside = (at >= around) & (place + SEED + around <= end)
+    found = mix(doc_id.astype(np.int64).view(np.uint64) + at.astype(np.uint64))
+    found[inside] = shingles_at(words, place[inside] - around, SEED + 2 * around)
     return found.view(np.int64).astype(np.int32)
 
 
@@ -84,7 +88,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     for batch in small_batches(batches, size=BATCH_BYTES):
         places, hashes = word_hashes(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        seeds, owners, where, contexts = [], [], [], []
+        seeds, where, rows = [], [], []
         batch_grams, minima = _batch_windows(hashes)
         for i, (a, b) in enumerate(zip(places[:-1], places[1:])):
             if b - a < least:
@@ -97,12 +101,12 @@ def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 at = at[np.append(True, at[1:] != at[:-1])]
             seeds.append(grams[at])
             where.append(at)
-            contexts.append(_contexts(hashes[a:b], at, ids[i]))
-            owners.append(np.full(len(at), ids[i]))
+            rows.append(np.full(len(at), i))
         if seeds:
-            yield pa.record_batch({"seed": np.concatenate(seeds).view(np.int64), "doc_id": np.concatenate(owners),
-                                   "place": np.concatenate(where).astype(np.int32),
-                                   "context": np.concatenate(contexts)})
+            at, row = np.concatenate(where), np.concatenate(rows)
+            yield pa.record_batch({"seed": np.concatenate(seeds).view(np.int64), "doc_id": ids[row],
+                                   "place": at.astype(np.int32),
+                                   "context": _contexts(hashes, places[row], places[row + 1], at, ids[row])})
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -111,19 +115,25 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
     for batch in small_batches(batches, size=BATCH_BYTES):
         places, hashes = word_hashes(batch.column("text"))
         ids, repeated = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("repeated")
-        runs, owners, where = [], [], []
+        rows, where = [], []
+        held, fields = repeated.flatten(), {}
+        for f in ("place", "source", "source_place", "source_context"):
+            fields[f] = held.field(f).to_numpy(zero_copy_only=False)
+        counts = pc.list_value_length(repeated).to_numpy(zero_copy_only=False)
+        row, ends = np.repeat(np.arange(len(ids)), counts), np.append(0, np.cumsum(counts))
+        fields["alike"] = fields["source_context"] == _contexts(
+            hashes, places[row], places[row + 1], fields["place"].astype(np.int64), ids[row])
         batch_grams, minima = _batch_windows(hashes)
         for i, (a, b) in enumerate(zip(places[:-1], places[1:])):
             if b - a < least:
                 continue
             grams = batch_grams[a:b - SEED + 1] if b - a >= SEED else shingle_hashes(hashes[a:b], SEED)
-            place, source, source_place, context = (
-                repeated[i].values.field(f).to_numpy(zero_copy_only=False)
-                for f in ("place", "source", "source_place", "source_context"))
+            place, source, source_place, own = (
+                fields[f][ends[i]:ends[i + 1]] for f in ("place", "source", "source_place", "alike"))
             first_in, line = np.full(len(grams), -1, np.int64), np.zeros(len(grams), np.int64)
             single, alike = np.ones(len(grams), dtype=bool), np.zeros(len(grams), dtype=bool)
             first_in[place], line[place], single[place] = source, source_place.astype(np.int64) - place, False
-            alike[place] = _contexts(hashes[a:b], place.astype(np.int64), ids[i]) == context
+            alike[place] = own
             at = np.arange(b - a - least + 1)
             if inner:
                 seed = minima[a:b - SEED - WINDOW + 2] - a
@@ -139,12 +149,12 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
                         other[inner:inner + len(at)] != other[:len(at)])
                 at = at[wanted]
             if len(at):
-                runs.append(shingles_at(hashes[a:b], at, least))
                 where.append(at)
-                owners.append(np.full(len(at), ids[i]))
-        if runs:
-            yield pa.record_batch({"run": np.concatenate(runs).view(np.int64), "doc_id": np.concatenate(owners),
-                                   "place": np.concatenate(where).astype(np.int32)})
+                rows.append(np.full(len(at), i))
+        if rows:
+            at, row = np.concatenate(where), np.concatenate(rows)
+            yield pa.record_batch({"run": shingles_at(hashes, places[row] + at, least).view(np.int64), "doc_id": ids[row],
+                                   "place": at.astype(np.int32)})
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
