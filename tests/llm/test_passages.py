@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from veritab.llm import passages
@@ -72,3 +73,33 @@ def test_changed_copies_of_one_passage(spark):
     caught = [sum(min(b, last) - max(a, first) + 1 for a, b in spans.get(doc, []) if a <= last and b >= first)
               >= 0.8 * (last - first + 1) for doc, first, last in planted if doc % 2]
     assert sum(caught) >= 0.9 * len(caught)
+
+
+def test_gap_of_any_size_is_aligned():
+    rng = random.Random(3)
+    words = [rng.randrange(10 ** 6) for _ in range(1600)]
+    a = np.array(words, np.uint32)
+    b = np.array(words[:100] + [1] + words[100:1400] + [2] + words[1400:], np.uint32)
+    # The words of the gap but two are equal: one passage, where a table of 1300 x 1301 cells was too large before.
+    found = passages.aligned_passages(a, b, [0, 1590], [0, 1592], 50, 80)
+    assert found == [(0, 1599, 0, 1601, 1600)]
+
+
+def test_long_gaps_have_longest_common_subsequences(monkeypatch):
+    def halved(a, b):
+        if len(a) * len(b) > 1:
+            return passages._long_gap(a, b)
+        return ([0], [0]) if len(a) and len(b) and a[0] == b[0] else ([], [])
+
+    monkeypatch.setattr(passages, "MAX_GAP_CELLS", 1)
+    monkeypatch.setattr(passages, "_gap", halved)
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = (np.array([rng.randrange(4) for _ in range(rng.randint(1, 30))], np.uint32) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        left, right = passages._long_gap(a, b)
+        assert left == sorted(set(left)) and right == sorted(set(right)) and (a[left] == b[right]).all()
+        assert len(left) == table[-1][-1]

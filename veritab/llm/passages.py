@@ -323,8 +323,10 @@ def _gap(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         same = np.flatnonzero(a == b)
         if 2 * len(same) >= len(a):
             return same.tolist(), same.tolist()
-    if not len(a) or not len(b) or len(a) * len(b) > MAX_GAP_CELLS:
+    if not len(a) or not len(b):
         return [], []
+    if len(a) * len(b) > MAX_GAP_CELLS:
+        return _long_gap(a, b)
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
         row = np.where(b == a[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
@@ -343,6 +345,45 @@ def _gap(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def _subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for word in a:
+        np.maximum.accumulate(np.where(b == word, row[:-1] + 1, row[1:]), out=row[1:])
+    return row
+
+
+def _long_gap(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """:func:`_gap` in memory that grows with the lengths, not their product (Hirschberg, 1975).
+
+    Equal words at both ends are matched first; what lies between is halved until a table of it is small.
+    """
+    size = min(len(a), len(b))
+    begin = _equal(a[:size], b[:size])
+    end = _equal(a[begin:][::-1][:size - begin], b[begin:][::-1][:size - begin])
+    left, right = list(range(begin)), list(range(begin))
+    a_end, b_end = len(a) - end, len(b) - end
+    inner_a, inner_b = a[begin:a_end], b[begin:b_end]
+    if len(inner_a) * len(inner_b) <= MAX_GAP_CELLS:
+        parts = [(0, 0, inner_a, inner_b)]
+    elif len(inner_a) == 1 or len(inner_b) == 1:
+        i, j = np.flatnonzero(np.isin(inner_a, inner_b))[:1], np.flatnonzero(np.isin(inner_b, inner_a))[:1]
+        left, right = left + (i + begin).tolist(), right + (j + begin).tolist()
+        parts = []
+    else:
+        middle = len(inner_a) // 2
+        cut = int(np.argmax(_subsequences(inner_a[:middle], inner_b)
+                            + _subsequences(inner_a[middle:][::-1], inner_b[::-1])[::-1]))
+        parts = [(0, 0, inner_a[:middle], inner_b[:cut]), (middle, cut, inner_a[middle:], inner_b[cut:])]
+    for a_at, b_at, part_a, part_b in parts:
+        i, j = _gap(part_a, part_b)
+        left += [v + begin + a_at for v in i]
+        right += [v + begin + b_at for v in j]
+    left += range(a_end, len(a))
+    right += range(b_end, len(b))
+    return left, right
+
+
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
     """How many words two stretches have in common from their beginning."""
     other = np.flatnonzero(a != b)
