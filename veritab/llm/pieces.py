@@ -14,10 +14,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain
 from operator import add
 
 import numpy as np
@@ -127,7 +127,12 @@ class PieceEncoder:
         return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), at, len(self.pair_keys) - 1)
 
     def encode_many(self, words: list[str]) -> list[tuple[int, ...]]:
-        """:meth:`encode_symbols` of many short words: each round joins the first pair of every word's agenda."""
+        """:meth:`encode_symbols` of many short words."""
+        ids, ends = self._agendas(words)
+        return [tuple(ids[a:b].tolist()) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _agendas(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and where each word's end: each round joins the first pair of every word's agenda."""
         sizes = np.array([len(w) for w in words])
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         symbols = self.of_char[points]
@@ -163,18 +168,18 @@ class PieceEncoder:
                 same = owner[own] == owner[own + 1]
                 pair[left] = none
                 pair[own] = np.where(same, self._pairs(symbols[own], symbols[own + 1]), none)
-        ids: list[list[int]] = [[] for _ in words]
-        limit = self.library.get_piece_size()
-        for owners, numbers, points in done:
-            if ((numbers < 0) | (numbers >= limit)).any():
-                for w, number, point in zip(owners.tolist(), numbers.tolist(), points.tolist()):
-                    ids[w] += [number] if 0 <= number < limit else [self.bytes[b] for b in chr(point).encode()]
-            else:
-                cuts = np.flatnonzero(owners[1:] != owners[:-1]) + 1
-                flat = numbers.tolist()
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(flat)]):
-                    ids[owners[a]] = flat[a:b]
-        return [tuple(i) for i in ids]
+        owner, symbols, chars = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
+        order = np.argsort(owner, kind="stable")
+        owner, symbols, chars = owner[order], symbols[order], chars[order]
+        spelled = np.flatnonzero((symbols < 0) | (symbols >= self.library.get_piece_size()))
+        if len(spelled):  # characters that are no piece, as bytes
+            spelling = [[self.bytes[b] for b in chr(c).encode()] for c in chars[spelled].tolist()]
+            sizes = np.ones(len(symbols), np.int64)
+            sizes[spelled] = [len(ids) for ids in spelling]
+            owner, symbols, is_byte = np.repeat(owner, sizes), np.repeat(symbols, sizes), np.zeros(len(symbols), bool)
+            is_byte[spelled] = True
+            symbols[np.repeat(is_byte, sizes)] = list(chain.from_iterable(spelling))
+        return symbols, np.searchsorted(owner, np.arange(len(words)), "right")
 
     def _stretches(self, word: str) -> list[str]:
         if self.meetings.issuperset(map(add, word, word[1:])):
@@ -192,28 +197,43 @@ class PieceEncoder:
         """Ids of each text as the library gives them, without begin or end ids."""
         rows = [self._words(t) for t in texts]
         young, old = self.young, self.old
-        missing: set[str] = set()
-        for words in rows:
-            missing.update(words)
-        missing.difference_update(young)
-        known = missing.intersection(old)
-        young.update((w, old[w]) for w in known)
-        new = list(missing - known)
-        marked = [w if SPACE in w else SPACE + w for w in new]
-        fresh = {w: self._word(w) for w in marked if len(w) > LONGEST_CACHED}
-        short = [w for w in marked if len(w) <= LONGEST_CACHED]
-        for at in range(0, len(short), MANY):
-            fresh.update(zip(short[at:at + MANY], self.encode_many(short[at:at + MANY])))
-        self._check(fresh)
-        packed = {w: np.array(fresh[m], "<u4").tobytes() for w, m in zip(new, marked)}
-        long = {w: packed.pop(w) for w, m in zip(new, marked) if len(m) > LONGEST_CACHED}
-        young.update(packed)
-        here = ChainMap(young, long).__getitem__ if long else young.__getitem__
-        out = [np.frombuffer(b"".join(map(here, words)), "<u4") for words in rows]
+        words = list(chain.from_iterable(rows))
+        held = list(map(young.get, words))
+        gaps = [i for i, packed in enumerate(held) if packed is None]
+        missing = {words[i] for i in gaps}
+        here = {w: old[w] for w in missing if w in old}
+        young.update(here)
+        new = list(missing.difference(here))
+        fresh = dict(zip(new, self._fresh([w if SPACE in w else SPACE + w for w in new])))
+        here.update(fresh)
+        young.update((w, packed) for w, packed in fresh.items() if len(w) < LONGEST_CACHED)
+        for i in gaps:
+            held[i] = here[words[i]]
+        ends = list(accumulate(map(len, rows)))
+        out = [np.frombuffer(b"".join(held[a:b]), "<u4") for a, b in zip([0, *ends], ends)]
         if len(young) > CACHE_ENTRIES:  # keep what recent batches used
             self.old, self.young = young, {}
         return out
 
+    def _fresh(self, marked: list[str]) -> list[bytes]:
+        """Packed ids of words whose spaces are marked, each as the library gives them."""
+        out = [b""] * len(marked)
+        short = [i for i, w in enumerate(marked) if len(w) <= LONGEST_CACHED]
+        groups = [short[at:at + MANY] for at in range(0, len(short), MANY)]
+        groups += [[i] for i, w in enumerate(marked) if len(w) > LONGEST_CACHED]
+        for group in groups:
+            words = [marked[i] for i in group]
+            if len(words[0]) > LONGEST_CACHED:
+                ids = np.array(self._word(words[0]), np.int64)
+                ends = np.array([len(ids)])
+            else:
+                ids, ends = self._agendas(words)
+            self._check(words, ids, ends)
+            packed, cuts = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+            for i, a, b in zip(group, [0, *cuts], cuts):
+                out[i] = packed[a:b]
+        return out
+
     @staticmethod
     def _words(text: str) -> list[str]:
         """Words of a text: plain ones without their mark, those with several or inner marks as they are."""
@@ -223,11 +243,22 @@ class PieceEncoder:
             return _WORD.findall(SPACE + text.replace(" ", SPACE))
         return text.split(" ")
 
-    def _check(self, fresh: dict[str, tuple[int, ...]]) -> None:
-        words = [w for w in fresh if w[0] == SPACE]  # the library adds the first space itself
-        for w, ids in zip(words, self.library.encode([w[1:] or "" for w in words], num_threads=1)):
-            if len(w) > 1 and tuple(ids) != fresh[w]:
-                raise ValueError(f"encoding of {w[:200]!r} differs from the library: {fresh[w]} and {ids}")
+    def _check(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """The library must give the same ids; it adds the first space itself, so words without one are not asked for."""
+        asked = [i for i, w in enumerate(words) if w[0] == SPACE and len(w) > 1]
+        found = self.library.encode([words[i][1:] for i in asked], num_threads=1)
+        sizes = np.diff(ends, prepend=0)
+        if len(asked) < len(words):
+            known = np.zeros(len(words), bool)
+            known[asked] = True
+            ids, sizes = ids[np.repeat(known, sizes)], sizes[known]
+        if (np.fromiter(map(len, found), np.int64) == sizes).all() and (
+                np.fromiter(chain.from_iterable(found), np.int64) == ids).all():
+            return
+        cuts = np.cumsum(sizes).tolist()
+        for i, theirs, a, b in zip(asked, found, [0, *cuts], cuts):
+            if theirs != ids[a:b].tolist():
+                raise ValueError(f"encoding of {words[i][:200]!r} differs from the library: {ids[a:b].tolist()} and {theirs}")
 
     def decode_batch(self, rows: list[np.ndarray]) -> list[str]:
         return [self.library.decode(ids.tolist()) if len(ids) else "" for ids in rows]
@@ -276,15 +307,28 @@ def encoded_texts(documents: DataFrame, model_file: str | None = None) -> DataFr
                              "doc_id long, ids array<int>, decoded string")
 
 
+@lru_cache(maxsize=1)
+def _digits(size: int) -> np.ndarray:
+    """The numbers below ``size`` as decimal digits with a comma, in rows filled with zero bytes."""
+    return np.array([b"%d," % i for i in range(size)]).view(np.uint8).reshape(size, -1)
+
+
+def _decimals(ids: np.ndarray) -> bytes:
+    """Decimal numbers joined by commas."""
+    if not len(ids):
+        return b""
+    letters = _digits(1 << max(15, int(ids.max()).bit_length())).take(ids, axis=0).ravel()
+    return letters[letters != 0].tobytes()[:-1]
+
+
 def _digests(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
     for batch in _encoded(batches, model_file):
         column = batch.column("ids")
         cuts, flat = column.offsets.to_pylist(), column.values.to_numpy()
-        ids = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
         yield pa.record_batch({
             "doc_id": batch.column("doc_id"),
-            "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
-            "ids_sha256": [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids],
+            "n_tokens": pa.array(np.diff(cuts), pa.int64()),
+            "ids_sha256": [hashlib.sha256(_decimals(flat[a:b])).hexdigest() for a, b in zip(cuts, cuts[1:])],
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()],
         })
 
