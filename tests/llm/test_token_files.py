@@ -30,3 +30,17 @@ def test_ids_are_those_of_the_library(tool):
     want = [e.ids for e in tool.library.encode_batch_fast(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time from the cache
         assert [ids.tolist() for ids in tool.encode_batch(texts)] == want
+
+
+def test_plain_parts_of_a_batch_are_judged_at_once(monkeypatch):
+    tool = token_files.CachedTokenizer(token_files.tokenizer_path())
+    asked = []
+    monkeypatch.setattr(token_files.CachedTokenizer, "_simple", lambda self, text, old=token_files.CachedTokenizer._simple: (
+        asked.append(text), old(self, text))[1])
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}, it's <a| {i}" for i in range(300)), "ab<|cd", "µ | <|x", ""]
+    want = [e.ids for e in tool.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in tool.encode_batch(texts)] == want
+    asked.clear()
+    text = " ".join(f"new{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    assert tool.encode_batch([text])[0].tolist() == tool.library.encode(text, add_special_tokens=False).ids
+    assert len(asked) == 2  # the text and its new parts; before, each part

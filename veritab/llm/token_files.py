@@ -107,8 +107,10 @@ class CachedTokenizer:
         return parts
 
     def _fresh(self, parts: list[str]) -> dict[str, bytes]:
-        plain = [p for p in parts if self._simple(p)]
-        other = [p for p in parts if not self._simple(p)] if len(plain) < len(parts) else []
+        plain, other = parts, []
+        if not self._simple(" ".join(parts)):
+            plain = [p for p in parts if self._simple(p)]
+            other = [p for p in parts if not self._simple(p)]
         tokenize = self.library.model.tokenize
         ids = [[t.id for t in tokenize(p if p.isascii() else _byte_letters(p))] for p in plain] + self._encode(other)
         packed = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
@@ -118,19 +120,19 @@ class CachedTokenizer:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         rows = [self._cut(t) for t in texts]
         young, old = self.young, self.old
-        missing = set().union(*rows).difference(young)
-        known = missing.intersection(old)
-        young.update((p, old[p]) for p in known)
-        fresh = self._fresh(list(missing - known))
-        long = {p: fresh.pop(p) for p in list(fresh) if len(p) > LONGEST_CACHED}
-        young.update(fresh)
-        out = []
-        for parts in rows:
-            if long:
-                joined = b"".join([young[p] if p in young else long[p] for p in parts])
-            else:
-                joined = b"".join(map(young.__getitem__, parts))
-            out.append(np.frombuffer(joined, "<u4"))
+        parts = list(chain.from_iterable(rows))
+        held = list(map(young.get, parts))
+        gaps = [i for i, packed in enumerate(held) if packed is None]
+        missing = {parts[i] for i in gaps}
+        here = {p: old[p] for p in missing if p in old}
+        young.update(here)
+        fresh = self._fresh(list(missing.difference(here)))
+        here.update(fresh)
+        young.update((p, packed) for p, packed in fresh.items() if len(p) <= LONGEST_CACHED)
+        for i in gaps:
+            held[i] = here[parts[i]]
+        ends = list(accumulate(map(len, rows)))
+        out = [np.frombuffer(b"".join(held[a:b]), "<u4") for a, b in zip([0, *ends], ends)]
         if len(young) > CACHE_ENTRIES:
             self.old, self.young = young, {}
         return out
