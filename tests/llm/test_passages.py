@@ -75,6 +75,21 @@ def test_changed_copies_of_one_passage(spark):
     assert sum(caught) >= 0.9 * len(caught)
 
 
+def test_periodic_text_is_one_passage(spark):
+    rng = random.Random(11)
+    texts = {}
+    for doc, (period, times) in enumerate([(2, 300), (2, 300), (2, 200), (2, 700), (3, 150), (3, 150), (60, 6), (60, 6)]):
+        own = [f"o{rng.randrange(10 ** 6)}" for _ in range(40)]
+        texts[doc] = own + [f"p{period}w{i}" for i in range(period)] * times + own[::-1]
+    rows = [(doc, " ".join(words)) for doc, words in texts.items()]
+    spans = found_spans(spark, rows)
+    lost, total = uncovered(rows, spans)
+    assert total > 2000 and not lost
+    # Longer periods, and those longer than the earlier text, begin anew; before, nearly every word began a passage.
+    counts = {doc: len(s) for doc, s in spans.items()}
+    assert (counts[1], counts[2], counts[5]) == (1, 1, 1) and counts[3] <= 3 and counts[7] <= 7
+
+
 def test_gap_of_any_size_is_aligned():
     rng = random.Random(3)
     words = [rng.randrange(10 ** 6) for _ in range(1600)]

@@ -12,7 +12,8 @@ least ``least`` words of which ``percent`` agree are passages.
 The seeds of one passage may have their first occurrences in different places,
 or in line in a document that differs between them. So a run of ``least`` words
 whose seeds all repeat is hashed as a whole and matched with the first occurrence
-of that run, unless the first occurrences of its seeds are in line in one document
+of that run (with one at the same distance from it as its neighbours, if the first document repeats the run at equal
+distances), unless the first occurrences of its seeds are in line in one document
 and stand there among the same words, so that this document holds the run. Then
 the matches with it do, and neighbouring matches in line stay in one chain. Matched
 runs that no aligned passage covers make equal stretches; they join the seeds of
@@ -153,15 +154,55 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
                 rows.append(np.full(len(at), i))
         if rows:
             at, row = np.concatenate(where), np.concatenate(rows)
-            yield pa.record_batch({"run": shingles_at(hashes, places[row] + at, least).view(np.int64), "doc_id": ids[row],
-                                   "place": at.astype(np.int32)})
+            run = shingles_at(hashes, places[row] + at, least).view(np.int64)
+            order, first, step, times = _series(row, run, at)
+            row, run, at = row[order][first], run[order][first], at[order][first]
+            yield pa.record_batch({"run": run, "doc_id": ids[row], "place": at.astype(np.int32),
+                                   "step": step.astype(np.int32), "times": times.astype(np.int32)})
+
+
+def _series(row: np.ndarray, run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one run in one text at equal distances make one series: an order of the places, where in it each
+    series begins, its distance (0 for one place) and its number of places. Places ascend in each text."""
+    order = np.lexsort((run, row))
+    row, run, at = row[order], run[order], at[order]
+    again = np.zeros(len(at), dtype=bool)
+    again[1:] = (row[1:] == row[:-1]) & (run[1:] == run[:-1])
+    gap = np.zeros(len(at), np.int64)
+    gap[1:] = np.where(again[1:], np.diff(at), 0)
+    new = ~again
+    new[1:] |= again[:-1] & (gap[1:] != gap[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(at)))
+    return order, first, np.where(times > 1, gap[np.minimum(first + 1, len(at) - 1)], 0), times
+
+
+def _in_step(x: np.ndarray, y: np.ndarray, step: np.ndarray, times: np.ndarray, least: int) -> np.ndarray:
+    """For runs of one document in order, matched with a series of places each, the place in line with the runs before."""
+    places, lines = [], {}  # the last run on each line that may go on, the oldest first
+    for at, low, by, n in zip(x.tolist(), y.tolist(), step.tolist(), times.tolist()):
+        lines = {line: last for line, last in lines.items() if at - last <= least}
+        line = next((d for d in lines if low <= at + d <= low + by * (n - 1) and (at + d - low) % (by or 1) == 0), low - at)
+        lines[line] = at
+        places.append(at + line)
+    return np.array(places, np.int64)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Matched runs of one pair of documents on one diagonal that touch make one stretch of equal words."""
+    """Matched runs of one pair of documents on one diagonal that touch make one stretch of equal words.
+
+    A run that the source repeats is matched where it prolongs a stretch, so periodic text is one stretch as well.
+    """
     held: list[list[np.ndarray]] = []
     for group in grouped(batches, ["doc_id"]):
-        source, x, y = (group[c].to_numpy().astype(np.int64) for c in ("source", "place", "source_place"))
+        times = group["times"].to_numpy().astype(np.int64)
+        source, x, step, y, source_step, source_times = (np.repeat(group[c].to_numpy().astype(np.int64), times) for c in (
+            "source", "place", "step", "source_place", "source_step", "source_times"))
+        x += step * (np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times))
+        for s in distinct(source[source_times > 1]):
+            own = np.flatnonzero(source == s)
+            own = own[np.argsort(x[own])]
+            y[own] = _in_step(x[own], y[own], source_step[own], source_times[own], least)
         order = np.lexsort((x, y - x, source))
         source, x, y = source[order], x[order], y[order]
         new = np.ones(len(x), dtype=bool)
@@ -617,13 +658,12 @@ def _exact_stretches(scratch: Scratch, source: DataFrame, located: DataFrame, le
     repeated = located.groupBy("doc_id").agg(F.collect_list(
         F.struct("place", "source", "source_place", "source_context")).alias("repeated"))
     runs = scratch.write(source.join(repeated, "doc_id").mapInArrow(
-        partial(_runs, least=least), "run long, doc_id long, place int"))
+        partial(_runs, least=least), "run long, doc_id long, place int, step int, times int"))
     firsts = runs.groupBy("run").agg(
-        F.min(F.struct("doc_id", "place")).alias("f"), F.max("doc_id").alias("last")).filter(
-        F.col("last") != F.col("f.doc_id")).select("run", F.col("f.doc_id").alias("source"),
-                                                   F.col("f.place").alias("source_place"))
-    matched = runs.join(firsts, "run").filter(F.col("doc_id") != F.col("source")).select(
-        "doc_id", "source", "place", "source_place")
+        F.min(F.struct("doc_id", "place", "step", "times")).alias("f"), F.max("doc_id").alias("last")).filter(
+        F.col("last") != F.col("f.doc_id")).select("run", F.col("f.doc_id").alias("source"), *[
+            F.col(f"f.{c}").alias(f"source_{c}") for c in ("place", "step", "times")])
+    matched = runs.join(firsts, "run").filter(F.col("doc_id") != F.col("source")).drop("run")
     return matched.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(
         partial(_stretches, least=least), FOUND)
 
