@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritab.llm import passages
+from veritab.llm.words import shingle_hashes, word_hashes
 
 
 def found_spans(spark, rows, **options):
@@ -90,6 +92,48 @@ def test_periodic_text_is_one_passage(spark):
     assert (counts[1], counts[2], counts[5]) == (1, 1, 1) and counts[3] <= 3 and counts[7] <= 7
 
 
+def test_rows_of_a_common_line_do_not_grow_with_its_times(spark, monkeypatch):
+    rng = random.Random(13)
+    matched, aligned = [], passages._aligned
+
+    def counted(scratch, source, matches, *options):
+        matched.append(matches.count())
+        return aligned(scratch, source, matches, *options)
+
+    def own():
+        return [f"o{rng.randrange(10 ** 9)}" for _ in range(30)]
+
+    monkeypatch.setattr(passages, "_aligned", counted)
+    line = [f"l{i}" for i in range(9)]
+    rows = [(doc, " ".join(own() + line * rng.randint(90, 110) + own())) for doc in range(12)]
+    lost, total = uncovered(rows, found_spans(spark, rows))
+    assert total > 8000 and not lost
+    # A row for each time, about 1100 in either pass, before.
+    assert len(matched) == 2 and max(matched) <= 12 * 6
+
+
+def test_series_hold_every_place_of_the_seeds():
+    rng = random.Random(17)
+    texts = ["", None, "a b", " ".join(["x y z"] * 70), " ".join(f"r{rng.randrange(10 ** 6)}" for _ in range(120))]
+    for _ in range(40):
+        lines = [[f"w{rng.randrange(6)}" for _ in range(rng.randint(1, 25))] for _ in range(3)]
+        texts.append(" ".join(sum((rng.choice(lines) for _ in range(rng.randint(1, 40))), [])))
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    found, series = [], 0
+    for rows in passages._seeds(iter([batch]), 50):
+        series += rows.num_rows
+        place, seed, doc_id = passages._every_place(*(rows.column(c).to_numpy() for c in (
+            "place", "step", "times", "seed", "doc_id")))
+        found += zip(doc_id.tolist(), place.tolist(), seed.tolist())
+    wanted = []
+    for doc, text in enumerate(texts):
+        _, hashes = word_hashes(pa.array([text], pa.string()))
+        if len(hashes) >= 50:
+            grams = shingle_hashes(hashes, passages.SEED)
+            wanted += [(doc, at, grams.view(np.int64)[at].item()) for at in passages.winnowed(grams).tolist()]
+    assert sorted(found) == sorted(wanted) and series < len(wanted)
+
+
 def test_gap_of_any_size_is_aligned():
     rng = random.Random(3)
     words = [rng.randrange(10 ** 6) for _ in range(1600)]

@@ -1,7 +1,8 @@
 """Passages that repeat across documents: shared seeds, collinear chains, alignment.
 
 Runs of ``SEED`` words are thinned by winnowing, so that any ``SEED + WINDOW - 1``
-equal words share a seed. Each occurrence of a seed is matched with the first
+equal words share a seed. Places of a seed at equal distances in one text are one
+row, so periodic text has few. Each occurrence of a seed is matched with the first
 one only (smallest doc_id, then place), so a passage shared by many documents
 gives one match per occurrence, never all pairs. The matches of two documents are
 chained in order in both (Abouelhoda and Ohlebusch, 2005): a Fenwick tree over
@@ -86,6 +87,7 @@ def _batch_windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Series of places of the seeds of texts of ``least`` words or more, with the context of the first place."""
     for batch in small_batches(batches, size=BATCH_BYTES):
         places, hashes = word_hashes(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -104,9 +106,11 @@ def _seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             where.append(at)
             rows.append(np.full(len(at), i))
         if seeds:
-            at, row = np.concatenate(where), np.concatenate(rows)
-            yield pa.record_batch({"seed": np.concatenate(seeds).view(np.int64), "doc_id": ids[row],
-                                   "place": at.astype(np.int32),
+            at, row, seed = np.concatenate(where), np.concatenate(rows), np.concatenate(seeds).view(np.int64)
+            order, first, step, times = _series(row, seed, at)
+            row, seed, at = row[order][first], seed[order][first], at[order][first]
+            yield pa.record_batch({"seed": seed, "doc_id": ids[row], "place": at.astype(np.int32),
+                                   "step": step.astype(np.int32), "times": times.astype(np.int32),
                                    "context": _contexts(hashes, places[row], places[row + 1], at, ids[row])})
 
 
@@ -117,13 +121,15 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         places, hashes = word_hashes(batch.column("text"))
         ids, repeated = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("repeated")
         rows, where = [], []
-        held, fields = repeated.flatten(), {}
-        for f in ("place", "source", "source_place", "source_context"):
-            fields[f] = held.field(f).to_numpy(zero_copy_only=False)
-        counts = pc.list_value_length(repeated).to_numpy(zero_copy_only=False)
-        row, ends = np.repeat(np.arange(len(ids)), counts), np.append(0, np.cumsum(counts))
+        held, names = repeated.flatten(), ["source", "source_place", "source_context"]
+        place, step, times, *others = (
+            held.field(f).to_numpy(zero_copy_only=False) for f in ["place", "step", "times", *names])
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(repeated).to_numpy(zero_copy_only=False))
+        place, row, *others = _every_place(place, step, times, row, *others)
+        fields = {"place": place, **dict(zip(names, others))}
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(ids))))
         fields["alike"] = fields["source_context"] == _contexts(
-            hashes, places[row], places[row + 1], fields["place"].astype(np.int64), ids[row])
+            hashes, places[row], places[row + 1], fields["place"], ids[row])
         batch_grams, minima = _batch_windows(hashes)
         for i, (a, b) in enumerate(zip(places[:-1], places[1:])):
             if b - a < least:
@@ -177,6 +183,15 @@ def _series(row: np.ndarray, run: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return order, first, np.where(times > 1, gap[np.minimum(first + 1, len(at) - 1)], 0), times
 
 
+def _every_place(at: np.ndarray, step: np.ndarray, times: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The places of all series, one series after the other, and for each place the ``values`` of its series."""
+    at, step, times = (c.astype(np.int64) for c in (at, step, times))
+    if (times == 1).all():
+        return at, *values
+    at, step, before, *values = (np.repeat(c, times) for c in (at, step, np.cumsum(times) - times, *values))
+    return at + step * (np.arange(len(at)) - before), *values
+
+
 def _in_step(x: np.ndarray, y: np.ndarray, step: np.ndarray, times: np.ndarray, least: int) -> np.ndarray:
     """For runs of one document in order, matched with a series of places each, the place in line with the runs before."""
     places, lines = [], {}  # the last run on each line that may go on, the oldest first
@@ -195,10 +210,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
     """
     held: list[list[np.ndarray]] = []
     for group in grouped(batches, ["doc_id"]):
-        times = group["times"].to_numpy().astype(np.int64)
-        source, x, step, y, source_step, source_times = (np.repeat(group[c].to_numpy().astype(np.int64), times) for c in (
-            "source", "place", "step", "source_place", "source_step", "source_times"))
-        x += step * (np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times))
+        x, source, y, source_step, source_times = _every_place(*(group[c].to_numpy().astype(np.int64) for c in (
+            "place", "step", "times", "source", "source_place", "source_step", "source_times")))
         for s in distinct(source[source_times > 1]):
             own = np.flatnonzero(source == s)
             own = own[np.argsort(x[own])]
@@ -306,7 +319,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for group in grouped(batches, ["doc_id", "source"]):
         doc, source = group["doc_id"][0].as_py(), group["source"][0].as_py()
-        x, y = _anchors(*(group[c].to_numpy() for c in ("place", "source_place", "n")))
+        x, y = _anchors(*_every_place(*(group[c].to_numpy() for c in ("place", "step", "times", "source_place", "n"))))
         parts = _in_line(x, y)
         chains = best_chains([x[p[0]] for p in parts], [y[p[0]] for p in parts], [x[p[-1]] - x[p[0]] + SEED - 1 for p in parts],
                              [len(p) for p in parts])
@@ -590,7 +603,8 @@ def repeated_passages(documents: DataFrame, least: int = 50, percent: int = 80)
     """
     scratch = Scratch(documents.sparkSession)
     source = _one_text_each(documents)
-    seeds = scratch.write(source.mapInArrow(partial(_seeds, least=least), "seed long, doc_id long, place int, context int"))
+    seeds = scratch.write(source.mapInArrow(
+        partial(_seeds, least=least), "seed long, doc_id long, place int, step int, times int, context int"))
     firsts = seeds.groupBy("seed").agg(
         F.min(F.struct("doc_id", "place", "context")).alias("f"), F.max("doc_id").alias("last")).filter(
         F.col("last") != F.col("f.doc_id")).select(
@@ -599,7 +613,7 @@ def repeated_passages(documents: DataFrame, least: int = 50, percent: int = 80)
     located = scratch.write(seeds.drop("context").join(firsts, "seed").drop("seed"))
     scratch.drop(seeds)
     seeded = located.filter(F.col("doc_id") != F.col("source")).select(
-        "doc_id", "source", "place", "source_place", F.lit(SEED).alias("n"))
+        "doc_id", "source", "place", "step", "times", "source_place", F.lit(SEED).alias("n"))
     aligned = scratch.write(_aligned(scratch, source, seeded, least, percent))
     stretches = _exact_stretches(scratch, source, located, least)
     missed = scratch.write(_still_open(aligned, stretches))
@@ -607,8 +621,9 @@ def repeated_passages(documents: DataFrame, least: int = 50, percent: int = 80)
         return aligned
     # The seeds of a pair are chained anew with its stretches.
     pairs = missed.select("doc_id", "source").distinct()
-    again = missed.select("doc_id", "source", F.col("first_word").alias("place"),
-                          F.col("source_first_word").alias("source_place"), F.col("n_equal").alias("n"))
+    again = missed.select(
+        "doc_id", "source", F.col("first_word").alias("place"), F.lit(0).alias("step"), F.lit(1).alias("times"),
+        F.col("source_first_word").alias("source_place"), F.col("n_equal").alias("n"))
     more = scratch.write(_aligned(
         scratch, source, seeded.join(pairs, ["doc_id", "source"], "left_semi").unionByName(again), least, percent))
     scratch.drop(located)
@@ -626,7 +641,7 @@ def _still_open(aligned: DataFrame, stretches: DataFrame) -> DataFrame:
 
 
 def _aligned(scratch: Scratch, source: DataFrame, matches: DataFrame, least: int, percent: int) -> DataFrame:
-    """The passages along the chains of ``matches(doc_id, source, place, source_place, n)``."""
+    """The passages along the chains of ``matches(doc_id, source, place, step, times, source_place, n)``."""
     chained = scratch.write(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source").mapInArrow(
         _chains, "doc_id long, source long, chain int, xs array<int>, ys array<int>"))
 
@@ -656,7 +671,7 @@ def _aligned(scratch: Scratch, source: DataFrame, matches: DataFrame, least: int
 def _exact_stretches(scratch: Scratch, source: DataFrame, located: DataFrame, least: int) -> DataFrame:
     """Equal stretches, in the columns of passages, made of runs of ``least`` words and their first occurrence."""
     repeated = located.groupBy("doc_id").agg(F.collect_list(
-        F.struct("place", "source", "source_place", "source_context")).alias("repeated"))
+        F.struct("place", "step", "times", "source", "source_place", "source_context")).alias("repeated"))
     runs = scratch.write(source.join(repeated, "doc_id").mapInArrow(
         partial(_runs, least=least), "run long, doc_id long, place int, step int, times int"))
     firsts = runs.groupBy("run").agg(
