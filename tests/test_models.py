@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from veritab.catalogue.models import document_features
 from veritab.ml import knn, metrics, models
 from veritab.ml.dbscan import dbscan
 from veritab.ml.split import stratified_split
@@ -303,3 +304,21 @@ def test_training_rows_are_dealt(spark, monkeypatch, algorithm, fitted):
     models.train_supervised(one_task(spark, 40_000, 2), algorithm, "label", "key", ["x"], parameters={
         "n_estimators": 1, "max_depth": 2, "max_iter": 1, "n_components": 256})
     assert seen and min(seen) > 1
+
+
+def test_texts_stay_out_of_the_join(spark, tmp_path):
+    """Labelled documents meet their labels as numbers; a document without a label is not judged."""
+    texts = [(1, "Two 22 words!", 13), (2, "no label", 0), (3, None, 4)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = document_features(spark, str(tmp_path))
+    assert [tuple(row) for row in found.orderBy("doc_id").collect()] == [
+        (1, 1, pytest.approx(np.log1p(13)), pytest.approx(np.log1p(3)), 2 / 13, 1 / 13, 1 / 13),
+        (3, 0, pytest.approx(np.log1p(4)), None, None, None, None)]
+    waiting, sides = [found._jdf.queryExecution().optimizedPlan()], []
+    while waiting:
+        node = waiting.pop()
+        below = [node.children().apply(i) for i in range(node.children().length())]
+        sides += [side.output().mkString(" ") for side in below if node.nodeName() == "Join"]
+        waiting += below
+    assert len(sides) == 2 and not any("text" in side for side in sides)
